@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Blocks, deltas, mix64, narrow, rows_of, shard_slices, undeltas, unpack, widen
+from .blocks import COUNTED, Blocks, count_keys, deltas, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
 from .common import written
 
 SHINGLE = 5
@@ -35,24 +35,9 @@ MOST_SMALL = 14
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
-def _byte_values() -> np.ndarray:
-    v = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    v[65:91] = v[97:123]
-    return v
-
-
-_VALUES = _byte_values()
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def word_hashes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of texts that lie end to end, and its text's place."""
     raw = np.frombuffer(data, np.uint8)
@@ -69,16 +54,7 @@ def word_hashes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = last[last >= 0]
     ends[last] = word[last]
     b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    out = np.empty(len(b), np.uint64)
-    # powers of a bounded length, so that memory stays near the block's
-    step, lo = 1 << 20, 0
-    while lo < len(b):
-        hi = max(lo + 1, int(np.searchsorted(e, b[lo] + step)))
-        at, end = b[lo], e[hi - 1]
-        h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[raw[at:end]] * _powers(_BASE, end - at), dtype=np.uint64)])
-        out[lo:hi] = (h[e[lo:hi] - at] - h[b[lo:hi] - at]) * _powers(_INVERSE, end - at)[b[lo:hi] - at]
-        lo = hi
-    return mix64(out + (e - b).astype(np.uint64)), np.searchsorted(starts, b, side="right") - 1
+    return mix64(span_hashes(raw, b, e) + (e - b).astype(np.uint64)), np.searchsorted(starts, b, side="right") - 1
 
 
 def shingle_sets(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,18 +127,6 @@ def _requests(blocks: Blocks) -> DataFrame:
     return blocks.table.mapInArrow(run, "shard int, block long, keys binary, more binary")
 
 
-def _count_shard(table: pa.Table) -> pa.Table:
-    """For each key of each block of a shard: of how many more documents it is, at most 255."""
-    keys = [undeltas(k) for k in table.column("keys").to_pylist()]
-    more = [widen(m) for m in table.column("more").to_pylist()]
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(more) + 1).astype(np.int64)
-    got = np.minimum(total[place] - 1, 255).astype(np.uint8)
-    parts = np.split(got, np.cumsum([len(k) for k in keys])[:-1])
-    cost = int((np.minimum(total, 256) ** 2)[total > 1].sum()), int(np.minimum(total, 256)[total > 1].sum())
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "more": pa.array([p.tobytes() for p in parts], pa.binary()), "square": pa.array([cost[0]] + [0] * (len(parts) - 1), pa.int64()), "sum": pa.array([cost[1]] + [0] * (len(parts) - 1), pa.int64())})
-
-
 def subset_sizes(n: int, small: int) -> list[int]:
     """Sizes of the common subsets of a small set of n and any small partner."""
     return sorted({c for m in range(n, min(small, n * 5 // 4) + 1) if (c := -(-4 * m // 5)) <= n})
@@ -212,10 +176,10 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
             h, bounds = shingle_sets(data, starts)
             at, _ = _prefix(bounds)
             keys, place = np.unique(mix64(h[at]) >> np.uint64(64 - bits), return_inverse=True)
-            got = np.zeros(len(keys), np.uint8)
+            got = np.zeros(len(keys), np.int64)
             said = {a["shard"]: a["more"] for a in row["answers"] or []}
             for s, a, b in shard_slices(keys, bits, shards):
-                got[a:b] = np.frombuffer(said[s], np.uint8)
+                got[a:b] = widen(said[s])
             more = got[place]
             n = np.diff(bounds)
             ends = np.cumsum(extended(n))
@@ -227,7 +191,7 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
                 on = _lists(own, more[ends[i] - extended(n[i : i + 1])[0] : ends[i]], small)
                 if on is None:
                     continue
-                weight = _powers(0x2545F4914F6CDD1D, len(own))
+                weight = powers(0x2545F4914F6CDD1D, len(own))
                 sid = f"{int((own * weight).sum(dtype=np.uint64)):016x}{int((mix64(own) * weight).sum(dtype=np.uint64)):016x}"
                 sids[i] = sid
                 if sid not in seen:
@@ -312,7 +276,7 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     blocks = Blocks(docs)
-    answers = written(_requests(blocks).groupBy("shard").applyInArrow(_count_shard, "block long, shard int, more binary, square long, sum long"))
+    answers = written(_requests(blocks).groupBy("shard").applyInArrow(count_keys, COUNTED))
     cost = answers.agg(F.sum("square"), F.sum("sum")).first()
     rows = written(_documents(blocks, answers, boundary(cost[0] / cost[1] if cost[1] else 1.0)))
     sets = written(rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists")))

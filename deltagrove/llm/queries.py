@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, media, mixing, sql, urls
+from . import chat, fingerprints, jaccard, media, mixing, sql, suffixes, urls
 from .common import read
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -50,12 +50,16 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(read(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_report(read(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_chat, op5_urls, op8_jaccard, op10_media)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_chat, op5_urls, op8_jaccard, op9_suffixes, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
