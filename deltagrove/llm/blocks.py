@@ -10,8 +10,6 @@ A null text counts as empty. A null doc_id is carried as the least long.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bucketed
 
 NULL_ID = -(1 << 63)
 #: Bytes of text to a block (a longer text has its own), and bytes of text to a shard.
@@ -84,12 +82,7 @@ class Blocks:
     """The written blocks of a table of documents."""
 
     def __init__(self, docs: DataFrame, keep: bool = False) -> None:
-        self.spark = docs.sparkSession
-        self.name = f"blocks_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark).rstrip('/')}/deltagrove-{self.name}"
-        n = self.spark.conf.get("spark.sql.shuffle.partitions")
-        pack_blocks(docs, keep).write.bucketBy(int(n), "block").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
+        self.table = bucketed(pack_blocks(docs, keep), "block", "uncompressed")
         self.n_bytes = self.table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
         #: Enough shards that one fits a task; enough bits that two keys are seldom the same by chance.
         self.shard_bits = max(6, (self.n_bytes // SHARD_BYTES).bit_length())

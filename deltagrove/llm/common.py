@@ -42,6 +42,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
+    """The rows, written below the shared folder in buckets of key, so that joins by it don't deal them out again."""
+    spark = df.sparkSession
+    name = f"deltagrove_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", codec).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def map_arrow(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

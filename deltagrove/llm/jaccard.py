@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import COUNTED, Blocks, count_keys, deltas, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
-from .common import written
+from .common import bucketed, written
 
 SHINGLE = 5
 #: A list of more documents than this is frequent.
-FREQUENT = 48
-ROUNDS = 4
+FREQUENT = 16
+ROUNDS = 3
 #: Small sets have at most so many elements, whatever the costs.
 MOST_SMALL = 14
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -142,14 +142,15 @@ def boundary(mean_list: float) -> int:
     return small
 
 
-def _lists(h: np.ndarray, more: np.ndarray, small: int) -> np.ndarray | None:
-    """The lists that a set is on; None: it has no partner. more: of how many other documents each prefix element is."""
+def _lists(h: np.ndarray, more: np.ndarray, small: int) -> tuple[np.ndarray, int] | None:
+    """The lists that a set is on, and how many of them it shares with any partner at least; None: it has no partner.
+    more: of how many other documents each prefix element is."""
     n = len(h)
     n1 = np.array([n])
     k = int(shared_at_least(n1)[0])
     if not n or (more > 0).sum() < min(k, len(more)):
         return None
-    out = []
+    out, need = [], 1
     if n <= small:
         for c in subset_sizes(n, small):
             salt = np.uint64(0xA24BAED4963EE407 * c % (1 << 64))
@@ -157,13 +158,15 @@ def _lists(h: np.ndarray, more: np.ndarray, small: int) -> np.ndarray | None:
             out.append(mix64(mix64(h)[picks].sum(axis=1, dtype=np.uint64) + salt))
     if n >= least_overlap(np.array([small + 1]))[0]:
         often = more >= FREQUENT
-        use = (more > 0) & (~often if often.sum() < k else np.ones(len(more), bool))
+        few = often.sum() < k
+        use = (more > 0) & (~often if few else np.ones(len(more), bool))
         out.append(h[: len(more)][use])
+        need = k - few * int(often.sum()) if n > small else 1
     lists = np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-    return lists
+    return lists, max(1, min(need, len(more)))
 
 
-_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>"
+_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>, need long"
 
 
 def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
@@ -185,7 +188,7 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
             ends = np.cumsum(extended(n))
             enough = np.add.reduceat(np.append(more > 0, False).astype(np.int64), np.minimum(ends - extended(n), len(more))) if len(n) else n
             may = (n > 0) & (enough >= np.minimum(shared_at_least(n), extended(n)))
-            sids, sets, lists, seen = [None] * len(n), [None] * len(n), [None] * len(n), set()
+            sids, sets, lists, needs, seen = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n), set()
             for i in np.flatnonzero(may):
                 own = h[bounds[i] : bounds[i + 1]]
                 on = _lists(own, more[ends[i] - extended(n[i : i + 1])[0] : ends[i]], small)
@@ -196,9 +199,10 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
                 sids[i] = sid
                 if sid not in seen:
                     seen.add(sid)
-                    sets[i], lists[i] = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), on.view(np.int64).tolist()
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists"])
+                    sets[i], lists[i] = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), on[0].view(np.int64).tolist()
+                    needs[i] = on[1]
+            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(needs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists", "need"])
 
     return blocks.with_answers(answers.select("block", "shard", "more")).mapInArrow(run, _SETS)
 
@@ -210,7 +214,8 @@ def _elements(data: bytes) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link."""
+    """The pairs (a, b) that link. sets is bucketed by id, so it isn't dealt again. Pairs of one a are dealt over several
+    tasks, each with its own copy of a's set."""
 
     def run(batches):
         for batch in batches:
@@ -225,8 +230,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: sets.select(F.col("sid").alias(c), F.col("set").alias(f"_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a string, b string")
+    dealt = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"_{c}"))
+    firsts = dealt.select("a", "_salt").distinct().join(of("a").hint("merge"), "a")
+    return dealt.join(firsts.hint("merge"), ["a", "_salt"]).join(of("b").hint("merge"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -248,21 +255,21 @@ def _near_size(a: str, b: str):
 
 
 def _linked_sets(sets: DataFrame) -> DataFrame:
-    """(node, root) of all sets that link with another. sets: sid, n, set, lists."""
-    posts = sets.select("sid", "n", F.explode("lists").alias("list"))
+    """(node, root) of all sets that link with another. sets: id, n, need, set, lists."""
+    posts = sets.select("id", "n", "need", F.explode("lists").alias("list"))
     shared = posts.groupBy("list").agg(F.count("*").alias("_m")).where("_m > 1").select("list")
     posts = written(posts.join(shared, "list"))
     edges, root = None, None
     for r in range(ROUNDS + 1):
-        at = posts.withColumn("root", F.col("sid")) if root is None else posts.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        open_lists = at.groupBy("list").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("_p")).where("_lo <> _hi")
+        at = posts.withColumn("root", F.col("id")) if root is None else posts.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         if r < ROUNDS:
-            pairs = at.join(open_lists.select("list", "_p.p", "_p.pn", "_p.proot"), "list").where((F.col("root") != F.col("proot")) & _near_size("n", "pn")).select(F.col("p").alias("a"), F.col("sid").alias("b"))
+            pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")))
+            lists = at.groupBy("list").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), pivot.alias("_p")).where("_lo <> _hi")
+            pairs = at.join(lists.select("list", "_p.p", "_p.pn", "_p.proot"), "list").where((F.col("root") != F.col("proot")) & _near_size("n", "pn"))
+            pairs = pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            rest = written(at.join(open_lists.select("list"), "list"))
-            other = rest.select("list", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            pairs = rest.join(other, "list").where((F.col("sid") < F.col("p")) & (F.col("root") != F.col("proot")) & _near_size("n", "pn")).select(F.col("p").alias("a"), F.col("sid").alias("b"))
-        pairs = written(pairs.distinct())
+            pairs = _rest(at)
+        pairs = written(pairs)
         if pairs.isEmpty():
             break
         found = written(_verified(pairs, sets))
@@ -270,7 +277,20 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
             continue
         edges = found if edges is None else edges.unionByName(found)
         root = classes(edges)
-    return root if root is not None else sets.sparkSession.createDataFrame([], "node string, root string")
+    return root if root is not None else sets.sparkSession.createDataFrame([], "node long, root long")
+
+
+def _rest(at: DataFrame) -> DataFrame:
+    """All pairs of different classes that share enough lists. In each list the members outside its largest class meet all
+    others; a pair is held against the number of lists that two linked sets share at least."""
+    sizes = at.groupBy("list", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("list").agg(F.max(F.struct("m", "root")).alias("_main"), F.count("*").alias("k")).where("k > 1").select("list", F.col("_main.root").alias("main"))
+    rows = written(at.join(main, "list"))
+    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("need").alias("pneed"), F.col("root").alias("proot"))
+    once = (F.col("proot") == F.col("main")) | (F.col("id") < F.col("p"))
+    pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn"))
+    a, b = F.least("id", "p"), F.greatest("id", "p")
+    return pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("common"), F.min(F.least("need", "pneed")).alias("need")).where("common >= need").select("a", "b")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -279,12 +299,14 @@ def components(docs: DataFrame) -> DataFrame:
     answers = written(_requests(blocks).groupBy("shard").applyInArrow(count_keys, COUNTED))
     cost = answers.agg(F.sum("square"), F.sum("sum")).first()
     rows = written(_documents(blocks, answers, boundary(cost[0] / cost[1] if cost[1] else 1.0)))
-    sets = written(rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists")))
+    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"), F.first("need").alias("need"))
+    sets = bucketed(sets.withColumn("id", F.monotonically_increasing_id()), "id")
     root = _linked_sets(sets)
-    owner = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    owner = written(owner)
+    named = sets.select("sid", "id").join(root.withColumnRenamed("node", "id"), "id").select("sid", "root")
+    least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    owner = written(least.join(named, "sid", "left").withColumn("root", F.coalesce(F.col("root").cast("string"), "sid")))
     of_root = owner.groupBy("root").agg(F.min("least").alias("component"))
-    named = owner.join(of_root, "root").select("sid", "component")
-    out = rows.select("doc_id", "n_shingles", "sid").join(named, "sid", "left")
+    copies = written(owner.join(of_root, "root").select("sid", "component"))
+    out = rows.select("doc_id", "n_shingles", "sid").join(copies, "sid", "left")
     null = lambda c: F.when(c != -(1 << 63), c)
     return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component", "doc_id")).alias("component_id"))
