@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, media, mixing, sql, suffixes, toxicity, urls
+from . import chat, fingerprints, jaccard, media, mixing, pieces, sql, suffixes, toxicity, urls
 from .common import read
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -46,6 +46,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_segmentations(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_chat, op5_urls, op7_toxicity, op8_jaccard, op9_suffixes, op10_media)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_chat, op5_urls, op6_pieces, op7_toxicity, op8_jaccard, op9_suffixes, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
