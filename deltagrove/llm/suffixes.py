@@ -30,8 +30,8 @@ _CHUNK = 1 << 20
 HOT = 20_000
 #: A perfect difference cover: every difference modulo 31 is one of two of its elements.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Suffixes of a bucket that are sorted at once, about.
-RANGE = 1 << 17
+#: Bytes of strings that form a bucket, about, and suffixes of it that are sorted at once.
+PART, RANGE = 1 << 20, 1 << 17
 
 
 def _shifts() -> np.ndarray:
@@ -233,10 +233,11 @@ def least_documents(text: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.
     out = own.copy()
     head = _columns(raw, at, 1)[:, 0].astype(np.uint64)
     by = np.argsort(head, kind="stable")
+    head = head[by]
     cuts = [0]
-    while cuts[-1] < len(by):  # ranges of first bytes: one bucket of suffixes after the other
+    while cuts[-1] < len(by):  # ranges of first bytes
         to = min(cuts[-1] + RANGE, len(by))
-        cuts.append(int(np.searchsorted(head[by], head[by[to - 1]], side="right")))
+        cuts.append(int(np.searchsorted(head, head[to - 1], side="right")))
     for a, b in zip(cuts, cuts[1:], strict=False):
         place = sorted_range(raw, at[by[a:b]], rank)
         rows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[place]
@@ -247,6 +248,16 @@ def least_documents(text: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.
     return out
 
 
+def _gone(text: np.ndarray, end: np.ndarray, size: np.ndarray, doc: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """For each picked string a bit for each of its starts whose bytes start in a smaller document."""
+    s = size[pick].astype(np.int32)
+    first = np.cumsum(s, dtype=np.int32) - s
+    bit = np.arange(s.sum(), dtype=np.int32) - np.repeat(first, s)
+    least = least_documents(text[np.repeat(end[pick] - s, s) + bit], np.cumsum(s), doc[pick])
+    gone = (least < np.repeat(doc[pick], s)) & (bit <= np.repeat(s, s) - LENGTH)
+    return np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << np.minimum(bit, 63).astype(np.uint64), np.uint64(0)), first)
+
+
 def _sort_shard(table: pa.Table) -> pa.Table:
     """For each string of each block of a shard: which of its starts have their bytes in a document of a smaller id."""
     parts = [undeltas(k) for k in table.column("keys").to_pylist()]
@@ -268,12 +279,16 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     marks = np.zeros(len(firsts), np.uint64)
     pick = firsts[several]
     if len(pick):
-        s = size[pick]
-        at = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + np.repeat(end[pick] - s, s)
-        least = least_documents(text[at], np.cumsum(s), doc[pick])
-        bit = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-        gone = (least < np.repeat(doc[pick], s)) & (bit <= np.repeat(s, s) - LENGTH)
-        marks[several] = np.bitwise_or.reduceat(np.where(gone, np.uint64(1) << np.minimum(bit, 63).astype(np.uint64), np.uint64(0)), np.cumsum(s) - s)
+        # one bucket of suffixes after the other: some keys' strings, about PART bytes
+        ends = np.flatnonzero(np.append(key[pick][1:] != key[pick][:-1], True)) + 1
+        total = np.concatenate([[0], np.cumsum(size[pick])])
+        got, lo = [], 0
+        while lo < len(pick):
+            to = np.searchsorted(total[ends], total[lo] + PART, side="right") - 1
+            hi = int(ends[max(to, np.searchsorted(ends, lo, side="right"))])
+            got.append(_gone(text, end, size, doc, pick[lo:hi]))
+            lo = hi
+        marks[several] = np.concatenate(got)
     out = np.where(doc > doc[firsts][place], (np.uint64(1) << (size - LENGTH + 1).astype(np.uint64)) - np.uint64(1), marks[place])
     split = np.split(out, np.cumsum([len(k) for k in parts])[:-1])
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "marks": pa.array([squeeze(x.astype("<u4").tobytes()) for x in split], pa.binary())})
