@@ -182,7 +182,7 @@ COUNTED = "block long, shard int, more binary, square long, sum long"
 
 def count_keys(table: pa.Table) -> pa.Table:
     """Of a shard's keys and of how many more documents than one each block has them: of how many more each is in all, at
-    most 65,535; and the sums that give the mean length of a key's list."""
+    most 65,535 (compressed); and the sums that give the mean length of a key's list."""
     keys = [undeltas(k) for k in table.column("keys").to_pylist()]
     more = [widen(m) for m in table.column("more").to_pylist()]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -191,4 +191,4 @@ def count_keys(table: pa.Table) -> pa.Table:
     parts = np.split(got, np.cumsum([len(k) for k in keys])[:-1])
     long = np.minimum(total[total > 1], 256)
     rest = [0] * (len(parts) - 1)
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "more": pa.array([narrow(p) for p in parts], pa.binary()), "square": pa.array([int((long**2).sum()), *rest], pa.int64()), "sum": pa.array([int(long.sum()), *rest], pa.int64())})
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "more": pa.array([squeeze(narrow(p)) for p in parts], pa.binary()), "square": pa.array([int((long**2).sum()), *rest], pa.int64()), "sum": pa.array([int(long.sum()), *rest], pa.int64())})

@@ -4,11 +4,11 @@ Words are what `[^\\x20\\x09-\\x0D]+` matches after A-Z are lower-cased; a set h
 words, the whole sequence; without words it is empty and links with nothing. Two sets link at 100 * overlap >= 80 * union.
 A set stands for all documents that have it. A null text counts as empty, a null doc_id is kept, repeated rows are copies.
 
-1. Two sets that link share at least k of the elements with the lowest hashes of each (the extended prefix). Blocks send
-   these to shards and learn of how many documents each is; a document in which fewer than k are shared has no partner.
+1. Blocks send their elements to shards and learn of how many documents each is. In the order from rare to frequent, two sets
+   that link share one of the first n - ceil(0.8 n) + 1 elements of each (the prefix); elements of one document alone are on
+   no list, so a document in which they fill the prefix has no partner.
 2. Small sets send their subsets of the fixed size that any two linked small sets share; larger ones send the elements of
    their prefix, to be scanned as inverted lists. The boundary is where the number of subsets passes what scanning costs.
-   Elements of very many documents are left out where the prefix has fewer than k of them, which loses no pair.
 3. In each list the members are held against one pivot, and linked sets become one class; lists that still hold several
    classes get new pivots, and at last all pairs between different classes of a list are held against each other.
 """
@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import COUNTED, Blocks, count_keys, deltas, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
+from .blocks import COUNTED, Blocks, count_keys, deltas, expand, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
 from .common import bucketed, written
 
 SHINGLE = 5
-#: A list of more documents than this is frequent.
-FREQUENT = 16
+#: Rounds of pivots before all that is left is compared.
 ROUNDS = 3
 #: Small sets have at most so many elements, whatever the costs.
 MOST_SMALL = 14
@@ -92,25 +91,6 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return (4 * n + 4) // 5
 
 
-def extended(n: np.ndarray) -> np.ndarray:
-    """Length of the extended prefix: what a partner may lack, and k."""
-    return np.where(n > 0, np.minimum(n, n - least_overlap(n) + 1 + n // 10), 0)
-
-
-def shared_at_least(n: np.ndarray) -> np.ndarray:
-    """k of the smallest partner."""
-    return 1 + least_overlap(n) // 10
-
-
-def _prefix(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the elements of all extended prefixes, and their texts."""
-    n = np.diff(bounds)
-    p = extended(n)
-    doc = np.repeat(np.arange(len(n)), p)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(p) - p, p) + np.repeat(bounds[:-1], p)
-    return at, doc
-
-
 def _requests(blocks: Blocks) -> DataFrame:
     bits, shards = blocks.key_bits, blocks.shard_bits
 
@@ -118,8 +98,7 @@ def _requests(blocks: Blocks) -> DataFrame:
         for row in rows_of(batches):
             _, starts, data = unpack(row)
             h, bounds = shingle_sets(data, starts)
-            at, _ = _prefix(bounds)
-            keys, counts = np.unique(mix64(h[at]) >> np.uint64(64 - bits), return_counts=True)
+            keys, counts = np.unique(h >> np.uint64(64 - bits), return_counts=True)
             out = [(s, row["block"], deltas(keys[a:b]), narrow(counts[a:b] - 1)) for s, a, b in shard_slices(keys, bits, shards)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "keys", "more"])
@@ -142,31 +121,25 @@ def boundary(mean_list: float) -> int:
     return small
 
 
-def _lists(h: np.ndarray, more: np.ndarray, small: int) -> tuple[np.ndarray, int] | None:
-    """The lists that a set is on, and how many of them it shares with any partner at least; None: it has no partner.
-    more: of how many other documents each prefix element is."""
+def _lists(h: np.ndarray, more: np.ndarray, small: int) -> np.ndarray:
+    """The lists that a set is on. more: of how many other documents each element is."""
     n = len(h)
-    n1 = np.array([n])
-    k = int(shared_at_least(n1)[0])
-    if not n or (more > 0).sum() < min(k, len(more)):
-        return None
-    out, need = [], 1
+    first = np.lexsort((h, more))[: n - int(least_overlap(np.array([n]))[0]) + 1]
+    first = first[more[first] > 0]
+    if not len(first):
+        return h[first]
+    out = []
     if n <= small:
         for c in subset_sizes(n, small):
             salt = np.uint64(0xA24BAED4963EE407 * c % (1 << 64))
             picks = np.array(list(itertools.combinations(range(n), c)))
             out.append(mix64(mix64(h)[picks].sum(axis=1, dtype=np.uint64) + salt))
     if n >= least_overlap(np.array([small + 1]))[0]:
-        often = more >= FREQUENT
-        few = often.sum() < k
-        use = (more > 0) & (~often if few else np.ones(len(more), bool))
-        out.append(h[: len(more)][use])
-        need = k - few * int(often.sum()) if n > small else 1
-    lists = np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-    return lists, max(1, min(need, len(more)))
+        out.append(h[first])
+    return np.unique(np.concatenate(out))
 
 
-_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>, need long"
+_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>"
 
 
 def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
@@ -177,32 +150,26 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
         for row in rows_of(batches):
             ids, starts, data = unpack(row)
             h, bounds = shingle_sets(data, starts)
-            at, _ = _prefix(bounds)
-            keys, place = np.unique(mix64(h[at]) >> np.uint64(64 - bits), return_inverse=True)
+            keys, place = np.unique(h >> np.uint64(64 - bits), return_inverse=True)
             got = np.zeros(len(keys), np.int64)
             said = {a["shard"]: a["more"] for a in row["answers"] or []}
             for s, a, b in shard_slices(keys, bits, shards):
-                got[a:b] = widen(said[s])
+                got[a:b] = widen(expand(said[s]))
             more = got[place]
             n = np.diff(bounds)
-            ends = np.cumsum(extended(n))
-            enough = np.add.reduceat(np.append(more > 0, False).astype(np.int64), np.minimum(ends - extended(n), len(more))) if len(n) else n
-            may = (n > 0) & (enough >= np.minimum(shared_at_least(n), extended(n)))
-            sids, sets, lists, needs, seen = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n), set()
-            for i in np.flatnonzero(may):
+            alone = np.diff(np.concatenate([[0], np.cumsum(more == 0)])[bounds])
+            sids, sets, lists, seen = [None] * len(n), [None] * len(n), [None] * len(n), set()
+            for i in np.flatnonzero((n > 0) & (alone <= n - least_overlap(n))):
                 own = h[bounds[i] : bounds[i + 1]]
-                on = _lists(own, more[ends[i] - extended(n[i : i + 1])[0] : ends[i]], small)
-                if on is None:
-                    continue
                 weight = powers(0x2545F4914F6CDD1D, len(own))
                 sid = f"{int((own * weight).sum(dtype=np.uint64)):016x}{int((mix64(own) * weight).sum(dtype=np.uint64)):016x}"
                 sids[i] = sid
                 if sid not in seen:
                     seen.add(sid)
-                    sets[i], lists[i] = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), on[0].view(np.int64).tolist()
-                    needs[i] = on[1]
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(needs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists", "need"])
+                    on = _lists(own, more[bounds[i] : bounds[i + 1]], small)
+                    sets[i], lists[i] = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), on.view(np.int64).tolist()
+            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists"])
 
     return blocks.with_answers(answers.select("block", "shard", "more")).mapInArrow(run, _SETS)
 
@@ -255,8 +222,8 @@ def _near_size(a: str, b: str):
 
 
 def _linked_sets(sets: DataFrame) -> DataFrame:
-    """(node, root) of all sets that link with another. sets: id, n, need, set, lists."""
-    posts = sets.select("id", "n", "need", F.explode("lists").alias("list"))
+    """(node, root) of all sets that link with another. sets: id, n, set, lists."""
+    posts = sets.select("id", "n", F.explode("lists").alias("list"))
     shared = posts.groupBy("list").agg(F.count("*").alias("_m")).where("_m > 1").select("list")
     posts = written(posts.join(shared, "list"))
     edges, root = None, None
@@ -281,16 +248,14 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
 
 
 def _rest(at: DataFrame) -> DataFrame:
-    """All pairs of different classes that share enough lists. In each list the members outside its largest class meet all
-    others; a pair is held against the number of lists that two linked sets share at least."""
+    """All pairs of different classes that share a list. In each list the members outside its largest class meet all others."""
     sizes = at.groupBy("list", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("list").agg(F.max(F.struct("m", "root")).alias("_main"), F.count("*").alias("k")).where("k > 1").select("list", F.col("_main.root").alias("main"))
     rows = written(at.join(main, "list"))
-    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("need").alias("pneed"), F.col("root").alias("proot"))
+    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
     once = (F.col("proot") == F.col("main")) | (F.col("id") < F.col("p"))
     pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn"))
-    a, b = F.least("id", "p"), F.greatest("id", "p")
-    return pairs.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("common"), F.min(F.least("need", "pneed")).alias("need")).where("common >= need").select("a", "b")
+    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -299,7 +264,7 @@ def components(docs: DataFrame) -> DataFrame:
     answers = written(_requests(blocks).groupBy("shard").applyInArrow(count_keys, COUNTED))
     cost = answers.agg(F.sum("square"), F.sum("sum")).first()
     rows = written(_documents(blocks, answers, boundary(cost[0] / cost[1] if cost[1] else 1.0)))
-    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"), F.first("need").alias("need"))
+    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"))
     sets = bucketed(sets.withColumn("id", F.monotonically_increasing_id()), "id")
     root = _linked_sets(sets)
     named = sets.select("sid", "id").join(root.withColumnRenamed("node", "id"), "id").select("sid", "root")

@@ -116,7 +116,7 @@ class _Repeats:
         more = np.zeros(len(keys), np.int64)
         said = {a["shard"]: a["more"] for a in row["answers"] or []}
         for s, a, b in shard_slices(keys, bits, shards):
-            more[a:b] = widen(said[s])
+            more[a:b] = widen(expand(said[s]))
         more = more[place]
         use = np.flatnonzero((more > 0) & (more < HOT))
         hot = np.flatnonzero(more >= HOT)
