@@ -100,7 +100,7 @@ def log_name(n: Column) -> Column:
 
 
 def request_id(prefix: Column, counter: Column, ts: Column) -> Column:
-    return F.concat_ws("-", prefix, counter.cast("string"), F.lower(F.hex(F.unix_micros(ts))))
+    return F.concat_ws("-", prefix, counter.cast("string"), F.lower(F.hex(F.unix_micros(ts.cast("timestamp")))))
 
 
 def metric_number(x: Column) -> Column:

@@ -81,7 +81,7 @@ def admit(requests: DataFrame, limiter) -> DataFrame:
             a, r, w = zip(*out, strict=True) if out else ((), (), ())
             yield pd.DataFrame({"client": pdf["client"], "ord": pdf["ord"], "allowed": a, "remaining": r, "retry_after": w})
 
-    t = requests.select("client", "ord", F.unix_micros("ts").alias("us"))
+    t = requests.select("client", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return t.repartition("client").sortWithinPartitions("client", "us", "ord").mapInPandas(run, ADMITTED)
 
 
