@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, media, mixing, pieces, sql, suffixes, toxicity, urls
+from . import chat, fingerprints, jaccard, media, mixing, pieces, quality, sql, suffixes, toxicity, urls
 from .common import read
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,6 +18,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     p = mixing.plan_mix(docs)
@@ -67,7 +71,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_mixing, op4_chat, op5_urls, op6_pieces, op7_toxicity, op8_jaccard, op9_suffixes, op10_media)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_mixing, op4_chat, op5_urls, op6_pieces, op7_toxicity, op8_jaccard, op9_suffixes, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
