@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
 
 def _crc_table() -> np.ndarray:
@@ -25,7 +26,7 @@ def crc32c_of(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     return data.map(crc32c_of, na_action="ignore")
 
@@ -78,7 +79,7 @@ def bloom_may_contain(data: bytes, key: bytes) -> bool:
     return k > 30 or all(data[p // 8] >> p % 8 & 1 for p in _places(key, bits, k))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def may_contain(data: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([bloom_may_contain(d, k) for d, k in zip(data, key, strict=True)])
 

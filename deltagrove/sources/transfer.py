@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, key_column: i
         value_column = 1
     width = max(key_column, value_column) + 1
     schema = ", ".join(f"c{i} string" for i in range(max(width, 2))) + ", _bad string"
-    rows = spark.read.schema(schema).option("sep", delimiter).option("header", header).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("emptyValue", "").csv(path)
+    rows = spark.read.schema(schema).option("sep", delimiter).option("header", header).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("emptyValue", "").option("nullValue", "\u0000").csv(path)
     key, value = F.col(f"c{key_column}"), F.col(f"c{value_column}")
     good = key.isNotNull() & (F.length(key) > 0) & value.isNotNull()
     kept = rows.where(good).select(F.concat(F.lit(key_prefix), key).alias("key"), value.alias("value"))
