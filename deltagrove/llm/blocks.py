@@ -22,6 +22,7 @@ from .common import bucketed
 NULL_ID = -(1 << 63)
 #: Bytes of text to a block (a longer text has its own), and bytes of text to a shard.
 BLOCK_BYTES, SHARD_BYTES = 3 << 20, 8 << 20
+_ID = "__id_of_this_row__"
 BLOCK_SCHEMA = "block long, n_bytes long, ids binary, lens binary, data binary, rest binary"
 
 
@@ -55,9 +56,9 @@ def pack_blocks(docs: DataFrame, keep: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_bytes", "ids", "lens", "data", "rest"])
 
         for b in batches:
-            other = b.select([c for c in b.schema.names if c not in ("_id", "text")])
+            other = b.select([c for c in b.schema.names if c not in (_ID, "text")])
             since = 0
-            for k, (i, t) in enumerate(zip(b.column("_id").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True)):
+            for k, (i, t) in enumerate(zip(b.column(_ID).to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True)):
                 t = t or b""
                 if ids and size + len(t) > BLOCK_BYTES:
                     rest.append(other.slice(since, k - since))
@@ -71,7 +72,7 @@ def pack_blocks(docs: DataFrame, keep: bool) -> DataFrame:
             yield row()
 
     cols = [c for c in docs.columns if c != "text"] if keep else []
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text", *cols).mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias(_ID), "text", *cols).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def rest_of(row: dict) -> pa.Table:

@@ -46,10 +46,10 @@ def settle(df: DataFrame, canon: str, fp: str, odd: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """docs with fingerprint, checked byte by byte inside equal buckets."""
+    """The rows of docs (as row) with their fingerprint, checked byte by byte inside equal buckets."""
     odd = shared_buckets(docs)
-    out = docs.withColumn("_canon", canonical(F.coalesce("text", F.lit("")))).withColumn("fingerprint", wide_hash(F.col("_canon")))
-    return (out if odd.isEmpty() else settle(out, "_canon", "fingerprint", odd)).select(*docs.columns, "fingerprint")
+    out = docs.select(F.struct("*").alias("row"), canonical(F.coalesce("text", F.lit(""))).alias("_canon")).withColumn("fingerprint", wide_hash(F.col("_canon")))
+    return (out if odd.isEmpty() else settle(out, "_canon", "fingerprint", odd)).select("row", "fingerprint")
 
 
 _BITS = 6

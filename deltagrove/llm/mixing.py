@@ -18,7 +18,6 @@ from .common import WORD, written
 SEED = "mix"
 #: A seeded bucket of a source holds about so many documents; prefix sums go over buckets, then inside each.
 BUCKET_DOCS = 256
-_COLUMNS = ("_size", "_skey", "_h", "_bucket", "_before", "_source_size", "_target", "_whole", "_extra")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -51,7 +50,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: in
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: str = SEED) -> DataFrame:
-    """The rows of docs with size, source_size, target and taken as _size, _source_size, _target and _taken."""
+    """doc_id and, as _row, the rows of docs with size, source_size, target and taken as _size, _source_size, _target, _taken."""
+    docs = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
     n = docs.count()
     bits = max(0, min(16, (n // BUCKET_DOCS).bit_length()))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,10 +74,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: each row as often as it is taken; a partly taken one holds its first words."""
-    cols = docs.columns
     p = plan_mix(docs, **how)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " ")
     times = F.col("_whole").cast("int") + (F.col("_part") > 0).cast("int")
     rows = p.where(times > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), times)))
     text = F.when((F.col("_n") > F.col("_whole")) & (F.col("_part") < F.col("_size")), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*cols)
+    return rows.select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -132,18 +132,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """cols of docs, and the score of each whole text."""
+def score(docs: DataFrame, model: Model, cols: tuple[str, ...] = ("doc_id",), name: str = "_score") -> DataFrame:
+    """cols of docs, and the score of each whole text under a name that cols don't have."""
 
     def run(batches):
         both = model.compressors()
         for b in batches:
             x = np.array([model.features(normal(t), both) for t in b.column("text").to_pylist()]).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(model.scores(x), pa.float64())], [*cols, "_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(model.scores(x), pa.float64())], [*cols, name])
 
     take = docs.select(*dict.fromkeys([*cols, "text"]))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return take.mapInArrow(run, f"{fields}, _score double")
+    return take.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,4 +153,7 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below the threshold."""
-    return score(docs, train(docs, labels), tuple(docs.columns)).where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), tuple(docs.columns), name).where(F.col(name) < THRESHOLD).select(*docs.columns)
