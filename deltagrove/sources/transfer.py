@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ def read_csv(spark: SparkSession, path: str, header: bool = False, key_column: i
         value_column = 1
     width = max(key_column, value_column) + 1
     schema = ", ".join(f"c{i} string" for i in range(max(width, 2))) + ", _bad string"
-    rows = spark.read.schema(schema).option("sep", delimiter).option("header", header).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    rows = spark.read.schema(schema).option("sep", delimiter).option("header", header).option("enforceSchema", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("emptyValue", "").csv(path)
     key, value = F.col(f"c{key_column}"), F.col(f"c{value_column}")
-    good = key.isNotNull() & (F.length(key) > 0) & value.isNotNull()
-    kept = rows.where(good).select(F.concat(F.lit(key_prefix), key).alias("key"), value.alias("value"))
+    # an empty field reads as null too; the row is short only if it was marked and lacks the delimiters
+    there = value.isNotNull() | F.col("_bad").isNull() | (F.size(F.split("_bad", re.escape(delimiter))) > value_column)
+    good = key.isNotNull() & (F.length(key) > 0) & there
+    kept = rows.where(good).select(F.concat(F.lit(key_prefix), key).alias("key"), F.coalesce(value, F.lit("")).alias("value"))
     counts = rows.agg(F.count("*").alias("total"), F.count_if(good).alias("imported"), F.count_if(~good).alias("failed"))
     return kept, counts
 
