@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from .blocks import NULL_ID, mix64, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TOP, ALPHA, SEED = 3, 0.5, 1
 #: Characters to a batch (a longer text has its own).
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 _WORDS = re.compile(r"\n| *[^ \n]+| +")
 _BLANK, _LITERAL = 0x2581, 0x110000
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_FILTER_BITS = 20
+_FILTER_BITS = 22
 
 
 class Vocabulary:
@@ -64,8 +65,16 @@ class Vocabulary:
         first = min(i for i, _ in kept)
         self.weight = -alpha * np.log(self.ids - first + 2.0)
         self.byte_weight = -alpha * np.log(n - first + 2.0)
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        #: By a hash's first bits: 1 if a piece may begin so, 2 if it may be one.
+        self.maybe = np.zeros(1 << _FILTER_BITS, np.uint8)
+        starts = np.array([_text_hash(p) for p in {p[:k] for _, p in kept for k in range(1, len(p))}], np.uint64)
+        self.maybe[(starts >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] |= 1
+        slots = (self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        self.maybe[slots] |= 2
+        #: The piece of each slot; the few that share one are looked up by hash.
+        self.slot = np.zeros(1 << _FILTER_BITS, np.int32)
+        self.slot[slots] = np.arange(len(slots))
+        self.maybe[np.flatnonzero(np.bincount(slots, minlength=1 << _FILTER_BITS) > 1)] |= 4
         self.sizes = np.array([len(t) for t in texts])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.text = np.frombuffer(b"".join(texts), np.uint8)
@@ -99,29 +108,36 @@ class Lattice:
         h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values(points) * powers(_BASE, n), dtype=np.uint64)])
         back = powers(_INVERSE, n)
         at, size, token = [], [], []
-        for k in range(1, v.longest + 1):
-            i = np.flatnonzero(self.end - np.arange(n) >= k)
+        i = np.arange(n)
+        left = self.end - i
+        for k in range(1, v.longest + 1):  # only from where the last k - 1 characters begin a piece
+            i = i[left[i] >= k]
             if not len(i):
                 break
             hk = mix64((h[i + k] - h[i]) * back[i] + np.uint64(k))
-            ok = v.maybe[(hk >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
-            i, hk = i[ok], hk[ok]
-            place = np.minimum(np.searchsorted(v.hashes, hk), len(v.hashes) - 1)
-            hit = v.hashes[place] == hk
-            at.append(i[hit])
+            slot = (hk >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+            kind = v.maybe[slot]
+            whole = np.flatnonzero(kind & 2)
+            place = v.slot[slot[whole]]
+            shared = np.flatnonzero(kind[whole] & 4)
+            place[shared] = np.minimum(np.searchsorted(v.hashes, hk[whole[shared]]), len(v.hashes) - 1)
+            hit = v.hashes[place] == hk[whole]
+            at.append(i[whole[hit]])
             size.append(np.full(hit.sum(), k))
             token.append(place[hit])
+            i = i[kind & 1 > 0]
         single = np.zeros(n, bool)
         if at:
             single[at[0]] = True
         rest = np.flatnonzero(~single)
         utf8 = 1 + (raw[rest] >= 0x80) + (raw[rest] >= 0x800) + (raw[rest] >= 0x10000)
-        start = np.concatenate([*at, rest])
+        # by start, a start's longer pieces first: they are the likelier ones, and so drawn after fewer steps
+        start = np.concatenate([*at[::-1], rest])
         order = np.argsort(start, kind="stable")
         self.start = start[order]
-        self.size = np.concatenate([*size, np.ones(len(rest), np.int64)])[order]
-        place = np.concatenate([*token, np.full(len(rest), -1)])[order]
-        self.tokens = np.concatenate([*(np.ones(len(a), np.int64) for a in at), utf8])[order]
+        self.size = np.concatenate([*size[::-1], np.ones(len(rest), np.int64)])[order]
+        place = np.concatenate([*token[::-1], np.full(len(rest), -1)])[order]
+        self.tokens = np.concatenate([np.ones(len(start) - len(rest), np.int64), utf8])[order]
         weight = np.where(place >= 0, v.weight[place], self.tokens * v.byte_weight)
         self.first_id = np.cumsum(self.tokens) - self.tokens
         self.ids = np.empty(int(self.tokens.sum()), np.int32)
@@ -135,7 +151,7 @@ class Lattice:
         to = self.start + self.size
         ahead = np.zeros(n + 1)
         left = self.end[self.start] - self.start if n else np.zeros(0, np.int64)
-        by = np.argsort(left, kind="stable")
+        by = np.argsort(left.astype(np.int16) if n and left.max() < 1 << 15 else left, kind="stable")  # 16 bits: by radix
         cuts = np.searchsorted(left[by], np.arange(1, (int(left.max()) if n else 0) + 2))
         last = to == self.end[self.start] if n else np.zeros(0, bool)
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -148,13 +164,17 @@ class Lattice:
         p = np.exp(self.log_p)
         total = np.cumsum(p)
         self.first = np.searchsorted(self.start, np.arange(n + 1))
-        base = (total - p)[self.first[:-1]] if n else total
-        self.ladder = self.start + np.clip(total - base[self.start], 0, 1) if n else total
-        self.ladder[self.first[1:] - 1] = np.arange(1, n + 1)
+        self.ladder = total - (total - p)[self.first[:-1]][self.start] if n else total
+        self.ladder[self.first[1:] - 1] = 1.0
         self.other = np.log(np.maximum(1 - p, 0), where=p < 1 - 1e-12, out=np.full(len(p), -np.inf))
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ladder, node + u, side="left")
+        e = self.first[node]
+        wait = np.flatnonzero(u > self.ladder[e])
+        while len(wait):
+            e[wait] += 1
+            wait = wait[u[wait] > self.ladder[e[wait]]]
+        return e
 
 
 def _utf8_byte(c: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
@@ -164,13 +184,19 @@ def _utf8_byte(c: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
     return np.where(j == 0, lead | (c >> tail), 0x80 | ((c >> tail) & 0x3F))
 
 
-def _uniform(key: np.ndarray, *place: np.ndarray | int) -> np.ndarray:
-    h = key
-    for k, x in enumerate(place):
-        h = mix64(h ^ (np.asarray(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)))
+def _place(key: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    return mix64(key + np.asarray(place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Numbers strictly between 0 and 1 from the high bits."""
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _uniform(key: np.ndarray, what: int, place: int = 0) -> np.ndarray:
+    return _unit(_place(mix64(key ^ np.uint64(what)), place))
+
+
 class _Walk:
     """Paths through the words of several texts, sampled onwards from given places."""
 
@@ -181,12 +207,12 @@ class _Walk:
     def onwards(self, occ: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """The edges from node to the end of each occurrence's word, in order, and their occurrence's place in occ."""
         lat, end = self.lat, self.lat.end
-        key = self.keys[self.text[occ]]
-        which = occ - self.begin[self.text[occ]]
+        text = self.text[occ]
+        key = _place(mix64(self.keys ^ np.uint64(sample + 1))[text], occ - self.begin[text])
         at, live, step = node.copy(), np.arange(len(occ)), 0
         edges, owners, steps = [], [], []
         while len(live):
-            u = _uniform(key[live], sample, which[live], step)
+            u = _unit(_place(key[live], step))
             e = lat.draw(at[live], u)
             edges.append(e)
             owners.append(live)
@@ -218,11 +244,12 @@ def _best(value: np.ndarray, bounds: np.ndarray, k: int) -> list[list[int]]:
 
 def top_k(texts: list[str], keys: list[int], v: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k different segmentations: ids, log-probability, perturbed value, log inclusion score."""
-    index: dict[str, int] = {}
+    index: defaultdict[str, int] = defaultdict()
+    index.default_factory = index.__len__
     words, counts = [], []
     for t in texts:
         own = _WORDS.findall(f" {t}") if t else []
-        words += [index.setdefault(w, len(index)) for w in own]
+        words += map(index.__getitem__, own)
         counts.append(len(own))
     lat = Lattice(list(index), v)
     words = np.array(words, np.int64)
@@ -246,12 +273,12 @@ def top_k(texts: list[str], keys: list[int], v: Vocabulary, k: int, seed: int) -
         total = np.cumsum(lat.log_p[flat])
         before = total - lat.log_p[flat]
         before = before - np.repeat(np.append(before, 0)[np.minimum(marks[:-1], max(len(before) - 1, 0))], size) + start[who]
-        mass = before + lat.other[flat]
         place = np.arange(len(flat)) - np.repeat(marks[:-1], size) + np.array(offset, np.int64)[who]
-        noise = -np.log(_uniform(key[at[who]], (1 << 21) + j, place))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            got = -np.logaddexp(-bound[who], np.log(noise) - mass)
-        got[~np.isfinite(mass)] = -np.inf
+        beside = np.flatnonzero(lat.other[flat] > -np.inf)
+        mass = before[beside] + lat.other[flat[beside]]
+        noise = -np.log(_unit(_place(mix64(key[at] ^ np.uint64((1 << 21) + j))[who[beside]], place[beside])))
+        got = np.full(len(flat), -np.inf)
+        got[beside] = -np.logaddexp(-bound[who[beside]], np.log(noise) - mass)
         for d, lo, off, top in zip(at.tolist(), marks[:-1].tolist(), offset, _best(got, marks, k), strict=True):
             queue[d] += [(float(got[lo + i]), j, i + off, (int(flat[lo + i]),)) for i in top]
 
