@@ -162,7 +162,7 @@ def test_reply_tree(spark):
     t = spark.createDataFrame(nodes, "conv_id string, node long, parent long, role string, text string, score double").fillna("", ["text"])
     _, ways = chat.paths(t)
     got = {(r.conv_id, r["rank"]): (r.leaf, r.score) for r in ways.collect()}
-    assert got == {("t", 1): (7, 9.0), ("t", 2): (6, 8.0), ("t", 3): (2, 3.0), ("u", 1): (9, 1.0)}
+    assert got == {("t", 1): (7, 9.0), ("t", 2): (6, 8.0), ("t", 3): (4, 3.0), ("u", 1): (9, 1.0)}
     best = chat.read_back(chat.format_paths(t)).collect()
     turns = {r.conv_id: [(x.role, x.text) for x in r.turns] for r in best}
     assert turns == {"t": [("user", "hi"), ("assistant", "b"), ("user", "d"), ("assistant", "f")], "u": [("user", "")]}
