@@ -278,9 +278,9 @@ def top_k(texts: list[str], keys: list[int], v: Vocabulary, k: int, seed: int) -
         mass = before[beside] + lat.other[flat[beside]]
         noise = -np.log(_unit(_place(mix64(key[at] ^ np.uint64((1 << 21) + j))[who[beside]], place[beside])))
         got = np.full(len(flat), -np.inf)
-        got[beside] = -np.logaddexp(-bound[who[beside]], np.log(noise) - mass)
-        for d, lo, off, top in zip(at.tolist(), marks[:-1].tolist(), offset, _best(got, marks, k), strict=True):
-            queue[d] += [(float(got[lo + i]), j, i + off, (int(flat[lo + i]),)) for i in top]
+        got[beside] = mass - np.log(noise)  # unbounded values; the bound keeps their order
+        for d, most, lo, off, top in zip(at.tolist(), bound.tolist(), marks[:-1].tolist(), offset, _best(got, marks, k), strict=True):
+            queue[d] += [(float(-np.logaddexp(-most, -got[lo + i])), j, i + off, (int(flat[lo + i]),)) for i in top]
 
     wait(0, np.arange(n), [0] * n, np.zeros(n), edges, root, bounds)
     for j in range(1, k):
