@@ -204,8 +204,8 @@ def test_urls(spark):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         h = re.match(r"[^/?#]*", rest)[0]
         assert host == h.translate(LOWER) and path == re.match(r"[^?#]*", rest[len(h) :])[0]
-        fit = [(len(a + b), a + b, v) for a, b, v in rules if (host == a or host.endswith("." + a)) and path.startswith(b)]
-        assert (rule, verdict) == ((max(fit)[1], max(fit)[2]) if fit else (None, "allow"))
+        fit = [(len(a + b), len(a), a + b, v) for a, b, v in rules if (host == a or host.endswith("." + a)) and path.startswith(b)]
+        assert (rule, verdict) == (max(fit)[2:] if fit else (None, "allow"))
     assert urls.filter_urls(t.limit(0), r).count() == 0
 
 
