@@ -27,6 +27,8 @@ from .blocks import COUNTED, Blocks, count_keys, deltas, expand, mix64, narrow,
 from .common import bucketed, written
 
 SHINGLE = 5
+#: 64-bit words of a set's parities.
+CELLS = 8
 #: Rounds of pivots before all that is left is compared.
 ROUNDS = 3
 #: Small sets have at most so many elements, whatever the costs.
@@ -121,6 +123,20 @@ def boundary(mean_list: float) -> int:
     return small
 
 
+def parities(h: np.ndarray) -> list[int]:
+    """For each of 512 cells whether an odd number of elements falls in it, as eight numbers. Two sets differ in as many
+    elements at least as their cells differ in number."""
+    odd = np.bincount((mix64(h) & np.uint64(64 * CELLS - 1)).astype(np.int64), minlength=64 * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_link(a: str, b: str, n: str, m: str):
+    """Whether the cells allow 100 * overlap >= 80 * union: linked sets differ in at most a ninth of their summed sizes."""
+    x, y = F.col(a), F.col(b)
+    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, CELLS)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return differ * 9 <= F.col(n) + F.col(m)
+
+
 def _lists(h: np.ndarray, more: np.ndarray, small: int) -> np.ndarray:
     """The lists that a set is on. more: of how many other documents each element is."""
     n = len(h)
@@ -139,7 +155,7 @@ def _lists(h: np.ndarray, more: np.ndarray, small: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>"
+_SETS = "doc_id long, n_shingles long, sid string, set binary, lists array<long>, sketch array<long>"
 
 
 def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
@@ -158,7 +174,7 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
             more = got[place]
             n = np.diff(bounds)
             alone = np.diff(np.concatenate([[0], np.cumsum(more == 0)])[bounds])
-            sids, sets, lists, seen = [None] * len(n), [None] * len(n), [None] * len(n), set()
+            sids, sets, lists, sketches, seen = [None] * len(n), [None] * len(n), [None] * len(n), [None] * len(n), set()
             for i in np.flatnonzero((n > 0) & (alone <= n - least_overlap(n))):
                 own = h[bounds[i] : bounds[i + 1]]
                 weight = powers(0x2545F4914F6CDD1D, len(own))
@@ -168,8 +184,9 @@ def _documents(blocks: Blocks, answers: DataFrame, small: int) -> DataFrame:
                     seen.add(sid)
                     on = _lists(own, more[bounds[i] : bounds[i + 1]], small)
                     sets[i], lists[i] = np.ascontiguousarray((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), on.view(np.int64).tolist()
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists"])
+                    sketches[i] = parities(own)
+            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sids, pa.string()), pa.array(sets, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "sid", "set", "lists", "sketch"])
 
     return blocks.with_answers(answers.select("block", "shard", "more")).mapInArrow(run, _SETS)
 
@@ -235,7 +252,7 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
             pairs = at.join(lists.select("list", "_p.p", "_p.pn", "_p.proot"), "list").where((F.col("root") != F.col("proot")) & _near_size("n", "pn"))
             pairs = pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            pairs = _rest(at)
+            pairs = _rest(at, sets)
         pairs = written(pairs)
         if pairs.isEmpty():
             break
@@ -247,14 +264,15 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
     return root if root is not None else sets.sparkSession.createDataFrame([], "node long, root long")
 
 
-def _rest(at: DataFrame) -> DataFrame:
-    """All pairs of different classes that share a list. In each list the members outside its largest class meet all others."""
+def _rest(at: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different classes that share a list. In each list the members outside its largest class meet all others;
+    their parities rule out, exactly, most pairs that don't link."""
     sizes = at.groupBy("list", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("list").agg(F.max(F.struct("m", "root")).alias("_main"), F.count("*").alias("k")).where("k > 1").select("list", F.col("_main.root").alias("main"))
-    rows = written(at.join(main, "list"))
-    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"))
+    rows = written(at.join(main, "list").join(sets.select("id", "sketch"), "id"))
+    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
     once = (F.col("proot") == F.col("main")) | (F.col("id") < F.col("p"))
-    pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn"))
+    pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn") & _may_link("sketch", "psketch", "n", "pn"))
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
@@ -264,7 +282,7 @@ def components(docs: DataFrame) -> DataFrame:
     answers = written(_requests(blocks).groupBy("shard").applyInArrow(count_keys, COUNTED))
     cost = answers.agg(F.sum("square"), F.sum("sum")).first()
     rows = written(_documents(blocks, answers, boundary(cost[0] / cost[1] if cost[1] else 1.0)))
-    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"))
+    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"), F.first("sketch").alias("sketch"))
     sets = bucketed(sets.withColumn("id", F.monotonically_increasing_id()), "id")
     root = _linked_sets(sets)
     named = sets.select("sid", "id").join(root.withColumnRenamed("node", "id"), "id").select("sid", "root")
