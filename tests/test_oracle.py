@@ -1,4 +1,4 @@
-"""Each registered query of the library against its SQL in DuckDB, on the smallest tables."""
+"""Each registered query of the library against its SQL in DuckDB, on small tables."""
 
 from __future__ import annotations
 
