@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage reads what the one before it wrote, and calls one operator of deltagrove.llm.
 
 The pipeline's toxicity stage drops the documents that the classifier predicts toxic; the Jaccard stage keeps of each class
-the document with the least id (of repeated rows with it, one); suffix dedup removes repeated bytes; the mix repeats or drops
+the row with the least id; suffix dedup removes repeated bytes; the mix repeats or drops
 documents to the targets; the last stage gives the sampled segmentations of every document. Each holds for empty tables too.
 """
 
@@ -9,26 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltagrove.llm import jaccard, mixing, pieces, suffixes, toxicity
 from deltagrove.llm.common import read, written
 
+_ROW = "__row_of_this_document"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the row with the least id; of rows that share it, the first by text."""
-    kept = jaccard.components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    many = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if many.isEmpty():
-        return rows
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    """Of each class the row with the least id; of rows that share it, the first by a hash of the text. A class is one of rows,
+    so different texts under one id, or without one, all stay."""
+    rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    classes = jaccard.components(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
+    order = rows.select(_ROW, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    least = order.join(classes, _ROW).groupBy("component_id").agg(F.min(F.struct("_id", "_hash", _ROW)).alias("_least"))
+    return rows.join(least.select(F.col(f"_least.{_ROW}")), _ROW, "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

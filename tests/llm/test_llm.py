@@ -453,3 +453,14 @@ def test_pipeline_stages(spark, docs, empty, tmp_path, labels):
         parts[c].append(d)
     assert sorted((d for d, _ in near), key=str) == sorted(parts, key=str)
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_copies_keep_texts_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    a, b = text("a"), text("b")
+    near_b = b + " end"
+    rows = [(3, b), (7, a), (7, near_b), (None, text("c")), (None, text("d")), (None, text("e")), (9, text("c")), (7, a)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, b), (7, a), (None, text("c")), (None, text("d")), (None, text("e"))])
