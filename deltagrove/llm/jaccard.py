@@ -255,7 +255,7 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
             pairs = _rest(at, sets)
         pairs = written(pairs)
         if pairs.isEmpty():
-            break
+            continue
         found = written(_verified(pairs, sets))
         if found.isEmpty():
             continue

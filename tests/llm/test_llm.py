@@ -335,6 +335,17 @@ def test_classes(spark):
     assert set(got[i] for i in range(21)) == {0} and got[51] == got[52] == 50
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_jaccard_goes_on_after_a_pivot_without_pairs(spark, rounds, monkeypatch):
+    """The pivot of the one list is too large for the two sets that link."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    a, b, c = (r.id for r in spark.range(3).orderBy(F.xxhash64("id", F.lit(0))).collect())
+    row = lambda i, e: (i, len(e), np.array(e, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), [7], jaccard.parities(np.array(e, np.uint64)))
+    rows = [row(a, list(range(1, 101))), row(b, list(range(1, 2)) + list(range(200, 249))), row(c, list(range(1, 2)) + list(range(201, 250)))]
+    sets = spark.createDataFrame([(i, n, bytearray(x), on, s) for i, n, x, on, s in rows], "id long, n long, set binary, lists array<long>, sketch array<long>")
+    assert {r.node: r.root for r in jaccard._linked_sets(sets).collect()} == {b: min(b, c), c: min(b, c)}
+
+
 # -- 9 suffix dedup --------------------------------------------------------------------------------------------------------
 
 
