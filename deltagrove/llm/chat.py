@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 END = "\n</turn>\n"
-#: More rounds than a reply tree has branching levels; a guard against endless loops.
-MOST_ROUNDS = 10_000
 
 
 def escape(c: Column, role: bool = False) -> Column:
@@ -53,7 +51,7 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = segs.where("parent_seg is not null").select("conv_id", F.col("parent_seg").alias("_at"), F.col("seg").alias("_next"), F.col("score").alias("_s"), F.col("_kids").alias("_k"))
     done = front.where("_kids = 0")
     if not step.isEmpty():
-        for _ in range(MOST_ROUNDS):
+        while True:  # ends: nodes of a cycle hang below no root
             joined = front.where("_kids > 0").join(step, (front.conv_id == step.conv_id) & (front.seg == step["_at"]))
             front = written(joined.select(front.conv_id, F.col("_next").alias("seg"), F.concat("segs", F.array("_next")).alias("segs"), (F.col("score") + F.col("_s")).alias("score"), F.col("_k").alias("_kids")))
             if front.isEmpty():

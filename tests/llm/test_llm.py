@@ -169,6 +169,17 @@ def test_reply_tree(spark):
     assert {r.conv_id: r.loss_text for r in best} == {"t": "bf", "u": ""}
 
 
+def test_reply_tree_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_ROUNDS", 2, raising=False)
+    rows = [(1, 1, None, "user", "t", 1.0)] + [(1, n, n - 1 - n % 2, "user", "t", 1.0) for n in range(2, 10)]
+    rows = [(c, n, None if p is None else max(1, p), r, t, s) for c, n, p, r, t, s in rows]
+    _, ways = chat.paths(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"))
+    kids = {p for _, _, p, *_ in rows}
+    up = {n: p for _, n, p, *_ in rows}
+    depth = lambda n: 0 if n is None else 1 + depth(up[n])
+    assert sorted(r.score for r in ways.collect()) == sorted(float(depth(n)) for n in up if n not in kids)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["\\", "#", "<", "</turn>", "\n", "### assistant:\n", ":", "é", "x", "$1"]
