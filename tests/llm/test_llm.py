@@ -229,9 +229,83 @@ def vocabulary():
         return pieces.Vocabulary(f.read(), 1.0)
 
 
-def test_pieces_sample_as_they_should(vocabulary):
+@pytest.fixture()
+def lattices(vocabulary):
+    return pieces.Lattices(vocabulary)
+
+
+def all_segmentations(text, v, alpha):
+    """Every way to write a text in pieces, with its probability, by plain recursion over the model's own pieces."""
+    import sentencepiece
+
+    with open(pieces.MODEL, "rb") as f:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=f.read())
+    n = sp.vocab_size()
+    plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    known = {sp.id_to_piece(i): i for i in plain}
+    cost = lambda i: (i - min(plain) + 2.0) ** -alpha
+    tokens = {i: [sp.piece_to_id(f"<0x{i:02X}>")] for i in range(256)}
+
+    def ways(word):
+        if not word:
+            return [((), 1.0)]
+        out = []
+        for k in range(1, len(word) + 1):
+            piece = known.get(word[:k])
+            if piece is not None:
+                out += [((piece, *ids), cost(piece) * w) for ids, w in ways(word[k:])]
+        if word[0] not in known:
+            raw = word[0].replace("▁", " ").encode()
+            own = tuple(t for b in raw for t in tokens[b])
+            out += [((*own, *ids), (n - min(plain) + 2.0) ** (-alpha * len(raw)) * w) for ids, w in ways(word[1:])]
+        total = sum(w for _, w in out)
+        return [(ids, w) for ids, w in out] if total else []
+
+    every = {(): 1.0}
+    for word in re.findall(r"\n| *[^ \n]+| +", f" {text}"):
+        own = ways(word.replace(" ", "▁"))
+        total = sum(w for _, w in own)
+        every = {a + ids: p * w / total for a, p in every.items() for ids, w in own}
+    return every
+
+
+@pytest.mark.parametrize("text", ["a", "of", "the", "ab c", "é\n1", "zz 9"])
+def test_pieces_against_every_segmentation(text, lattices, vocabulary):
+    """All segmentations come, with their probabilities, where k reaches their number; with fewer, the k come in the order of
+    sampling without replacement, and their inclusion scores weigh what they stand for."""
+    want = all_segmentations(text, vocabulary, 1.0)
+    got = pieces.top_k([text], [3], lattices, len(want) + 2, 5)[0]
+    assert {tuple(map(int, ids)): phi for ids, phi, _, _ in got} == {k: pytest.approx(math.log(p), abs=1e-9) for k, p in want.items()}
+    assert all(inc == 0.0 for *_, inc in got) and [g for _, _, g, _ in got] == sorted((g for _, _, g, _ in got), reverse=True)
+    if len(want) > 2:
+        n = 3_000
+        two = pieces.top_k([text] * n, list(range(n)), lattices, 2, 9)
+        first, pairs = Counter(tuple(map(int, r[0][0])) for r in two), Counter(tuple(tuple(map(int, x[0])) for x in r) for r in two)
+        for s, p in want.items():
+            assert first[s] / n == pytest.approx(p, abs=4.5 * math.sqrt(p * (1 - p) / n) + 1e-9)
+            for t, q in want.items():
+                if s != t:
+                    both = p * q / (1 - p)
+                    assert pairs[s, t] / n == pytest.approx(both, abs=4.5 * math.sqrt(both * (1 - both) / n) + 1e-3)
+        weights = {s: np.mean([sum(math.exp(phi - inc) for ids, phi, _, inc in r if tuple(map(int, ids)) == s) for r in two]) for s in want}
+        for s, p in want.items():
+            assert weights[s] == pytest.approx(p, abs=0.08)
+
+
+def test_pieces_do_not_depend_on_their_batch(lattices, vocabulary, monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeéß.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 400))) for _ in range(40)]
+    flat = lambda rows: [[(tuple(map(int, ids)), *rest) for ids, *rest in r] for r in rows]
+    whole = flat(pieces.top_k(texts, list(range(40)), lattices, 3, 1))
+    monkeypatch.setattr(pieces, "MOST_KNOWN", 300)
+    small = pieces.Lattices(vocabulary)
+    assert whole == [flat(pieces.top_k([t], [i], small, 3, 1))[0] for i, t in enumerate(texts)]
+    assert all(vocabulary.decode(np.array(ids)) == t.encode() for t, r in zip(texts, whole, strict=True) for ids, *_ in r)
+
+
+def test_pieces_sample_as_they_should(lattices):
     n = 4_000
-    got = pieces.top_k(["ab cde"] * n, list(range(n)), vocabulary, 3, 7)
+    got = pieces.top_k(["ab cde"] * n, list(range(n)), lattices, 3, 7)
     p = {tuple(ids): math.exp(phi) for r in got for ids, phi, _, _ in r}
     first = Counter(tuple(r[0][0]) for r in got)
     second = Counter(tuple(r[1][0]) for r in got)
@@ -244,7 +318,7 @@ def test_pieces_sample_as_they_should(vocabulary):
     assert all(len({tuple(x[0]) for x in r}) == 3 and r[0][2] > r[1][2] > r[2][2] for r in got)
 
 
-def test_pieces_round_trip(docs, empty, vocabulary):
+def test_pieces_round_trip(docs, empty, lattices, vocabulary):
     e = pieces.sample_segmentations(docs, k=2)
     back = pieces.decode(e).collect()
     texts = defaultdict(set)
@@ -253,11 +327,13 @@ def test_pieces_round_trip(docs, empty, vocabulary):
     assert {r.doc_id for r in back} == set(texts)
     assert all(r.text in texts[r.doc_id] and len(r.ids) == r.n_pieces for r in back)
     odd = ["▁ x", "\x00", "😀é\n\n  a", "   ", "a▁▁b"]
-    for t, r in zip(odd, pieces.top_k(odd, list(range(5)), vocabulary, 3, 1), strict=True):
+    for t, r in zip(odd, pieces.top_k(odd, list(range(5)), lattices, 3, 1), strict=True):
         assert all(vocabulary.decode(x[0]) == t.encode() for x in r)
     again = {(r.doc_id, r.sample, tuple(r.ids)) for r in pieces.sample_segmentations(docs.repartition(7), k=2).collect()}
     assert again == {(r.doc_id, r.sample, tuple(r.ids)) for r in back}
     assert pieces.sample_segmentations(empty).count() == 0
+    clash = pieces.decode(e.withColumn("text", F.lit("old")).withColumn("more", F.lit(1)))
+    assert sorted(clash.columns) == sorted([*e.columns, "more", "text"]) and {r.text for r in clash.collect()} == {r.text for r in back}
 
 
 # -- 7 toxicity ------------------------------------------------------------------------------------------------------------
