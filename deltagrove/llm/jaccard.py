@@ -11,6 +11,10 @@ A set stands for all documents that have it. A null text counts as empty, a null
    their prefix, to be scanned as inverted lists. The boundary is where the number of subsets passes what scanning costs.
 3. In each list the members are held against one pivot, and linked sets become one class; lists that still hold several
    classes get new pivots, and at last all pairs between different classes of a list are held against each other.
+4. The links of a set lie within its class, where parts of bounded size are held against each other to count them.
+
+Shingles are compared as 64-bit hashes (overlaps by their high 48 bits), sets of equal texts as 128 bits, without a look at the
+words: a false link takes a chance collision. Texts of any length go whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import COUNTED, Blocks, count_keys, deltas, expand, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
+from .blocks import COUNTED, NULL_ID, Blocks, count_keys, deltas, expand, mix64, narrow, powers, rows_of, shard_slices, span_hashes, unpack, widen
 from .common import bucketed, written
 
 SHINGLE = 5
@@ -33,6 +37,8 @@ CELLS = 8
 ROUNDS = 3
 #: Small sets have at most so many elements, whatever the costs.
 MOST_SMALL = 14
+#: So many of a set's lists show whether a pair was met before; elements of sets to a part of a class. Neither changes results.
+FIRST_LISTS, PART_ELEMENTS = 8, 1 << 18
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -220,14 +226,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(firsts.hint("merge"), ["a", "_salt"]).join(of("b").hint("merge"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def classes(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected classes of edges (a, b): the least label spreads, and labels' labels shorten the way."""
+def classes(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, root) of the connected classes of edges (a, b). names: id, least. A label is a set's least doc_id and its id; the
+    least label spreads, and labels' labels shorten the way, so a class's least doc_id comes without a join by class."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    own = both.select(F.col("a").alias("id")).distinct().join(names, "id")
+    label = written(own.select(F.col("id").alias("node"), F.struct("least", "id").alias("root")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near.select(F.col("a").alias("node"), "m"), "node", "left").select("node", "root", F.least("root", "m").alias("m"))
-        hop = step.join(label.select(F.col("node").alias("m"), F.col("root").alias("r")), "m", "left")
+        step = step.withColumn("_m", F.col("m.id"))
+        hop = step.join(label.select(F.col("node").alias("_m"), F.col("root").alias("r")), "_m", "left")
         new = written(hop.select("node", F.least("m", "r").alias("new"), "root"))
         if new.where("new <> root").isEmpty():
             return new.select("node", "root")
@@ -238,14 +247,15 @@ def _near_size(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def _linked_sets(sets: DataFrame) -> DataFrame:
-    """(node, root) of all sets that link with another. sets: id, n, set, lists."""
+def _linked_sets(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, root) of all sets that link with another. sets: id, n, set, lists, sketch; names: id, least."""
     posts = sets.select("id", "n", F.explode("lists").alias("list"))
     shared = posts.groupBy("list").agg(F.count("*").alias("_m")).where("_m > 1").select("list")
     posts = written(posts.join(shared, "list"))
     edges, root = None, None
     for r in range(ROUNDS + 1):
-        at = posts.withColumn("root", F.col("id")) if root is None else posts.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        known = None if root is None else root.select(F.col("node").alias("id"), F.col("root.id").alias("root"))
+        at = posts.withColumn("root", F.col("id")) if known is None else posts.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
         if r < ROUNDS:
             pivot = F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot")))
             lists = at.groupBy("list").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), pivot.alias("_p")).where("_lo <> _hi")
@@ -254,42 +264,86 @@ def _linked_sets(sets: DataFrame) -> DataFrame:
         else:
             pairs = _rest(at, sets)
         pairs = written(pairs)
-        if pairs.isEmpty():
+        if pairs.isEmpty():  # another pivot, or the last round, may still offer some
             continue
         found = written(_verified(pairs, sets))
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.unionByName(found)
-        root = classes(edges)
-    return root if root is not None else sets.sparkSession.createDataFrame([], "node long, root long")
+        root = classes(edges, names)
+    return root if root is not None else sets.sparkSession.createDataFrame([], "node long, root struct<least:long,id:long>")
 
 
 def _rest(at: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of different classes that share a list. In each list the members outside its largest class meet all others;
-    their parities rule out, exactly, most pairs that don't link."""
+    their parities rule out, exactly, most pairs that don't link. A pair that shares many lists leaves few of them: none
+    where the two sets' first lists that are left show a lesser one in common, so that the least is never passed over."""
     sizes = at.groupBy("list", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("list").agg(F.max(F.struct("m", "root")).alias("_main"), F.count("*").alias("k")).where("k > 1").select("list", F.col("_main.root").alias("main"))
-    rows = written(at.join(main, "list").join(sets.select("id", "sketch"), "id"))
-    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"))
+    left = written(at.join(main, "list"))
+    firsts = left.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("list")), 1, FIRST_LISTS).alias("firsts"))
+    rows = written(left.join(firsts, "id").join(sets.select("id", "sketch"), "id"))
+    other = rows.select("list", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("sketch").alias("psketch"), F.col("firsts").alias("pfirsts"))
     once = (F.col("proot") == F.col("main")) | (F.col("id") < F.col("p"))
-    pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn") & _may_link("sketch", "psketch", "n", "pn"))
+    least = F.array_min(F.array_intersect("firsts", "pfirsts"))
+    pairs = rows.where("root <> main").join(other, "list").where(once & (F.col("root") != F.col("proot")) & _near_size("n", "pn") & _may_link("sketch", "psketch", "n", "pn") & F.coalesce(least >= F.col("list"), F.lit(True)))
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _count_part(table: pa.Table) -> pa.Table:
+    """Of how many documents, in the other part, each set of two parts of a class links with (within one part: all others)."""
+    sets = [_elements(x) for x in table.column("set").to_pylist()]
+    n = np.array([len(s) for s in sets])
+    weight, side = table.column("copies").to_numpy(), table.column("side").to_numpy()
+    every = np.concatenate(sets)
+    names, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)  # an element of one set alone is in no overlap
+    where = np.full(len(names), -1)
+    where[shared] = np.arange(len(shared))
+    bits = np.zeros((len(sets), -(-max(len(shared), 1) // 64) * 64 // 8), np.uint8)
+    owner, cell = np.repeat(np.arange(len(sets)), n), where[place]
+    owner, cell = owner[cell >= 0], cell[cell >= 0]
+    np.bitwise_or.at(bits, (owner, cell >> 3), (1 << (cell & 7)).astype(np.uint8))
+    rows = bits.view(np.uint64)
+    halves = table.column("first").to_numpy() != table.column("second").to_numpy()
+    links = np.zeros(len(sets), np.int64)
+    for i in range(len(sets)):
+        against = np.flatnonzero((side != side[i]) if halves[0] else np.arange(len(sets)) != i)
+        against = against[(n[against] * 5 >= n[i] * 4) & (n[i] * 5 >= n[against] * 4)]
+        both = np.bitwise_count(rows[against] & rows[i]).sum(axis=1, dtype=np.int64)
+        links[i] = weight[against[100 * both >= 80 * (n[against] + n[i] - both)]].sum()
+    return pa.table({"id": table.column("id"), "links": pa.array(links, pa.int64())})
+
+
+def _count_links(sets: DataFrame, names: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, links): with how many documents of other sets each set links. All links of a set lie within its class, so a class
+    is dealt in parts of about PART_ELEMENTS elements, and two parts at a time are held against each other as rows of bits; no
+    pair is written. A class of one part is sent once, one of c parts c times."""
+    of = root.select(F.col("node").alias("id"), F.col("root.id").alias("root"))
+    parts = sets.select("id", "n").join(of, "id").groupBy("root").agg(F.ceil(F.sum("n") / PART_ELEMENTS).alias("parts")).where("parts > 1")
+    rows = sets.select("id", "set").join(of, "id").join(names.select("id", "copies"), "id").join(parts, "root", "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_other"))
+    rows = rows.select("id", "set", "copies", "root", F.least("_own", "_other").alias("first"), F.greatest("_own", "_other").alias("second"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    return rows.groupBy("root", "first", "second").applyInArrow(_count_part, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; with count_links, n_links too: how many other documents it links
+    with."""
     blocks = Blocks(docs)
     answers = written(_requests(blocks).groupBy("shard").applyInArrow(count_keys, COUNTED))
     cost = answers.agg(F.sum("square"), F.sum("sum")).first()
     rows = written(_documents(blocks, answers, boundary(cost[0] / cost[1] if cost[1] else 1.0)))
-    sets = rows.where("set is not null").groupBy("sid").agg(F.first("n_shingles").alias("n"), F.first("set").alias("set"), F.first("lists").alias("lists"), F.first("sketch").alias("sketch"))
+    some = lambda c, name: F.first(c, ignorenulls=True).alias(name)
+    sets = rows.where("sid is not null").groupBy("sid").agg(some("n_shingles", "n"), some("set", "set"), some("lists", "lists"), some("sketch", "sketch"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     sets = bucketed(sets.withColumn("id", F.monotonically_increasing_id()), "id")
-    root = _linked_sets(sets)
-    named = sets.select("sid", "id").join(root.withColumnRenamed("node", "id"), "id").select("sid", "root")
-    least = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    owner = written(least.join(named, "sid", "left").withColumn("root", F.coalesce(F.col("root").cast("string"), "sid")))
-    of_root = owner.groupBy("root").agg(F.min("least").alias("component"))
-    copies = written(owner.join(of_root, "root").select("sid", "component"))
+    names = sets.select("id", "least", "copies")
+    root = _linked_sets(sets, names)
+    named = sets.select("sid", "id", "least", "copies").join(root.withColumnRenamed("node", "id"), "id", "left")
+    if count_links:
+        named = named.join(_count_links(sets, names, root), "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    copies = written(named.select("sid", F.coalesce("root.least", "least").alias("component"), *(["n_links"] if count_links else [])))
     out = rows.select("doc_id", "n_shingles", "sid").join(copies, "sid", "left")
-    null = lambda c: F.when(c != -(1 << 63), c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component", "doc_id")).alias("component_id"))
+    null = lambda c: F.when(c != NULL_ID, c)
+    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component", "doc_id")).alias("component_id"), *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []))

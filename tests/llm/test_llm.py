@@ -373,7 +373,7 @@ def brute_components(rows):
     for _, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
         sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
-    up = list(range(len(rows)))
+    up, links = list(range(len(rows))), [0] * len(rows)
 
     def root(x):
         while up[x] != x:
@@ -385,17 +385,21 @@ def brute_components(rows):
             b = sets[j]
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 up[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         least.setdefault(root(i), []).append(d)
     key = lambda d: -math.inf if d is None else d
-    return sorted(((d, len(sets[i]), min(least[root(i)], key=key)) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(sets[i]), min(least[root(i)], key=key), links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "rounds", "firsts", "part"), [(1, 0, 8, 200), (2, 1, 1, 1 << 18), (3, jaccard.ROUNDS, 2, 60)])
+def test_jaccard(spark, seed, rounds, firsts, part, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 4_000)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FIRST_LISTS", firsts)
+    monkeypatch.setattr(jaccard, "PART_ELEMENTS", part)
     rng = random.Random(seed)
     words = [f"v{i}" for i in range(400)]
     bases = [[rng.choice(words) for _ in range(n)] for n in (5, 6, 7, 9, 12, 15, 18, 30, 80)]
@@ -418,8 +422,20 @@ def test_jaccard_edges(docs, empty):
 
 def test_classes(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(50, 51), (52, 51)]
-    got = {r.node: r.root for r in jaccard.classes(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert set(got[i] for i in range(21)) == {0} and got[51] == got[52] == 50
+    names = spark.createDataFrame([(i, 3 if i in (7, 9) else 100 - i) for i in range(60)], "id long, least long")
+    got = {r.node: tuple(r.root) for r in jaccard.classes(spark.createDataFrame(edges, "a long, b long"), names).collect()}
+    assert set(got[i] for i in range(21)) == {(3, 7)} and got[50] == got[51] == got[52] == (48, 52)
+
+
+def test_jaccard_joins_what_a_long_passage_hides(spark):
+    """Two sets that link, a third larger one that shares much with both, and three that share the rest of the third."""
+    rng = random.Random(0)
+    for _ in range(3):
+        w = [f"q{rng.random()}" for _ in range(200)]
+        texts = [w[:40] + w[40:44], w[:40] + w[50:54], w[:40] + w[60:130], *(w[60:130] + w[130 + 9 * i : 139 + 9 * i] for i in range(3))]
+        rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+        got = sorted(map(tuple, jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert got == brute_components(rows) and got[1][2] == 1
 
 
 @pytest.mark.parametrize("rounds", [1, 3])
@@ -430,7 +446,8 @@ def test_jaccard_goes_on_after_a_pivot_without_pairs(spark, rounds, monkeypatch)
     row = lambda i, e: (i, len(e), np.array(e, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), [7], jaccard.parities(np.array(e, np.uint64)))
     rows = [row(a, list(range(1, 101))), row(b, list(range(1, 2)) + list(range(200, 249))), row(c, list(range(1, 2)) + list(range(201, 250)))]
     sets = spark.createDataFrame([(i, n, bytearray(x), on, s) for i, n, x, on, s in rows], "id long, n long, set binary, lists array<long>, sketch array<long>")
-    assert {r.node: r.root for r in jaccard._linked_sets(sets).collect()} == {b: min(b, c), c: min(b, c)}
+    names = spark.range(3).select("id", F.col("id").alias("least"))
+    assert {r.node: r.root.id for r in jaccard._linked_sets(sets, names).collect()} == {b: min(b, c), c: min(b, c)}
 
 
 # -- 9 suffix dedup --------------------------------------------------------------------------------------------------------
