@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed
+from .common import bucketed, lean
 
 NULL_ID = -(1 << 63)
 #: Bytes of text to a block (a longer text has its own), and bytes of text to a shard.
@@ -105,6 +105,7 @@ def rows_of(batches):
     for b in batches:
         for i in range(b.num_rows):
             yield b.slice(i, 1).to_pylist()[0]
+    lean()
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

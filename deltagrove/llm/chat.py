@@ -7,7 +7,8 @@ by the lower leaf.
 
 A turn is "### role:\\ntext\\n</turn>\\n" with a backslash before each backslash, "#" and "<" (and ":" in roles), so neither
 mark can stand inside a text. Null roles and texts count as empty. Repeated rows are turns of their own. Nodes on a cycle
-are on no path. Extra columns are ignored.
+are on no path. Extra columns are ignored. Turns or nodes with a null conv_id are one conversation of their own; turns with a
+null number come first. Texts of any length go whole; a conversation is one row.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ def turns_to_nodes(turns: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes: conv_id, node, parent, score. The nodes with their segment, and the root-to-leaf paths: conv_id, leaf (its
     last segment), segs, score, rank."""
+    n, ways = _paths(nodes.withColumn("conv_id", F.struct("conv_id")))
+    return n.withColumn("conv_id", F.col("conv_id.conv_id")), ways.withColumn("conv_id", F.col("conv_id.conv_id"))
+
+
+def _paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As paths, with a struct of the id as conv_id: structs of nulls are equal, so nodes without an id make up one tree."""
     kids = nodes.where("parent is not null").groupBy("conv_id", F.col("parent").alias("node")).agg(F.count("*").alias("_kids"))
     n = nodes.join(kids, ["conv_id", "node"], "left")
     w = Window.partitionBy("conv_id").orderBy("node")
@@ -64,7 +71,7 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def format_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """nodes: conv_id, node, parent, role, text, score. The `keep` best paths of each tree as one conversation each: conv_id,
     rank, formatted, and the loss mask as spans (start from 1, len) over the assistant's escaped texts."""
-    n, ways = paths(nodes)
+    n, ways = _paths(nodes.withColumn("conv_id", F.struct("conv_id")))
     chosen = ways.where(F.col("rank") <= keep).select("conv_id", "rank", F.explode("segs").alias("seg"))
     t = n.join(chosen, ["conv_id", "seg"]).select("conv_id", "rank", "node", "role", F.concat(F.lit("### "), escape(F.col("role"), True), F.lit(":\n")).alias("_head"), escape(F.col("text")).alias("_body"))
     t = t.withColumn("_piece", F.concat("_head", "_body", F.lit(END)))
@@ -73,7 +80,7 @@ def format_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     span = F.struct(F.col("_start").cast("int").alias("start"), F.length("_body").alias("len"), (F.col("role") == "assistant").alias("loss"))
     g = t.groupBy("conv_id", "rank").agg(F.array_sort(F.collect_list(F.struct("node", "_piece", span.alias("span")))).alias("_t"))
     spans = F.transform(F.filter("_t", lambda x: x["span"]["loss"]), lambda x: F.struct(x["span"]["start"].alias("start"), x["span"]["len"].alias("len")))
-    return g.select("conv_id", "rank", F.array_join(F.transform("_t", lambda x: x["_piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return g.select("conv_id.conv_id", "rank", F.array_join(F.transform("_t", lambda x: x["_piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

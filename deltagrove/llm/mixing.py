@@ -65,7 +65,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     sized = sized.withColumn("_skey", skey).withColumn("_whole", whole).select("_skey", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", (F.floor(F.col("target") + 0.5) - F.col("_whole") * F.col("source_size")).alias("_extra"))
     before = F.coalesce(F.sum("_bucket_size").over(Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = buckets.withColumn("_before", before).select("_skey", "_bucket", "_before").join(sized, "_skey")
-    out = rows.join(written(ahead), ["_skey", "_bucket"])
+    # ahead grows with documents and sources, so it isn't broadcast; the window below uses the same exchange of the rows
+    out = rows.join(written(ahead).hint("merge"), ["_skey", "_bucket"])
     run = Window.partitionBy("_skey", "_bucket").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("_before") + F.sum("_size").over(run) - F.col("_size")
     part = F.least(F.greatest(F.col("_extra") - start, F.lit(0)), F.col("_size"))

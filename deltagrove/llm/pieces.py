@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, mix64
+from .common import lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TOP, ALPHA, SEED = 3, 0.5, 1
@@ -475,6 +476,8 @@ def sample_segmentations(docs: DataFrame, model: str | bytes = MODEL, k: int = T
                         rows.append([i, j, len(token), phi, g, inclusion, *last])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 lo = hi
+        del lat
+        lean()
 
     tail = ", ids_sha256 string, decoded_sha256 string" if digest else ", ids array<int>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS + tail)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, Blocks, deltas, expand, mix64, narrow, rest_of, rows_of, squeeze, undeltas, unpack, widen
@@ -23,6 +23,8 @@ from .common import written
 
 ORDER = 5
 KEEP = 0.9
+#: One in so many ranks is how far off the quantiles may be that enclose the exact one.
+ACCURACY = 10_000
 #: Log-probabilities travel as whole 1/2048 of a nat, up to 31.
 STEPS, FLOOR = 2048, 31.0
 
@@ -174,11 +176,26 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return blocks.with_answers(answers).mapInArrow(run, f"{fields}, _perplexity double")
 
 
+def quantiles(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """key and threshold: the least value that at least the share q of a key's values do not pass; null without values.
+
+    Exact at any size: approximate quantiles on both sides, whose ranks are at most one in ACCURACY off, enclose it, and only
+    the few rows between them are ranked."""
+    edge = 3 / ACCURACY
+    ends = F.percentile_approx(value, F.array(F.lit(max(0.0, q - edge)), F.lit(min(1.0, q + edge))), F.lit(ACCURACY))
+    span = rows.groupBy(key).agg(ends.alias("_ends"), F.greatest(F.ceil(F.count(value) * F.lit(q)), F.lit(1)).alias("_rank"))
+    near = rows.select(key, value).join(span, key)
+    below = near.groupBy(key).agg(F.count(F.when(F.col(value) < F.col("_ends")[0], 1)).alias("_below"))
+    between = near.where((F.col(value) >= F.col("_ends")[0]) & (F.col(value) <= F.col("_ends")[1]))
+    ranked = between.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(value))).join(below, key)
+    found = ranked.where(F.col("_below") + F.col("_place") == F.col("_rank")).select(key, F.col(value).alias("threshold"))
+    return span.select(key).join(found, key, "left")
+
+
 def quality_report(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, lang, perplexity, threshold (the keep quantile of the language) and good."""
     p = written(perplexities(docs.select("doc_id", "text", "lang"), labels))
-    limit = p.groupBy("lang").agg(F.percentile_approx("_perplexity", keep, 10_000).alias("threshold"))
-    lang = lambda c: F.coalesce(F.concat(F.lit("l"), c), F.lit(""))
-    j = p.withColumn("_k", lang(F.col("lang"))).join(limit.select(lang(F.col("lang")).alias("_k"), "threshold"), "_k")
+    p = p.withColumn("_k", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
+    j = p.join(quantiles(p, "_k", "_perplexity", keep), "_k")
     good = F.coalesce(F.col("_perplexity") <= F.col("threshold"), F.lit(False))
     return j.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), "threshold", good.alias("good"))

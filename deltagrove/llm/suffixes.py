@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import COUNTED, EXACT, NULL_ID, Blocks, count_keys, deltas, expand, mix64, narrow, rest_of, rows_of, shard_slices, span_hashes, squeeze, undeltas, unpack, widen
-from .common import written
+from .common import lean, written
 
 LENGTH, GRAM = 50, 24
 _WIDE = LENGTH - GRAM + 1
@@ -260,6 +260,7 @@ def _gone(text: np.ndarray, end: np.ndarray, size: np.ndarray, doc: np.ndarray,
 
 def _sort_shard(table: pa.Table) -> pa.Table:
     """For each string of each block of a shard: which of its starts have their bytes in a document of a smaller id."""
+    lean()  # of what the shard before this one took
     parts = [undeltas(k) for k in table.column("keys").to_pylist()]
     key = np.concatenate(parts)
     size = np.concatenate([widen(x) for x in table.column("sizes").to_pylist()]).astype(np.int64) + LENGTH

@@ -7,7 +7,8 @@ the score. Labels, language, source and id are never inputs of a score.
 
 The fit takes a bounded sample of labelled rows in the order of a hash of their ids: at most MOST_TOXIC and MOST_ORDINARY.
 A null or empty text has one empty window. Without both kinds of labels every score is the share of toxic labels (no labels:
-0). Rows of labels with nulls are left out. Repeated rows are scored each. Extra columns are ignored.
+0). Rows of labels with nulls are left out; of several texts with a labelled id the least is learnt from. Repeated rows are
+scored each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,12 +66,14 @@ def toxic_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary; of too few samples to train one, the samples themselves."""
-    size = min(size, sum(map(len, samples)) // 8)
+    """A zstandard dictionary; of samples too few or too small to train one, the samples themselves."""
+    total = sum(map(len, samples))
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(min(size, total // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(dict.fromkeys(samples))[:ORDINARY_BYTES]
+        if total > 8 * ORDINARY_BYTES:
+            raise
+        return b"".join(dict.fromkeys(samples))
 
 
 class Model:
@@ -117,13 +120,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     pick = lambda c, n: known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick("toxic = 1", MOST_TOXIC).unionByName(pick("toxic <> 1", MOST_ORDINARY))
     # at most MOST_TOXIC + MOST_ORDINARY ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = own.select("text", "toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").collect()
     texts = [normal(r[0]) for r in rows]
     y = np.array([float(r[1] == 1) for r in rows])
     toxic, ordinary = ([t for t, v in zip(texts, y, strict=True) if v == kind] for kind in (1, 0))
     usual = [w for t in ordinary for w in windows(t)]
-    step = max(1, len(usual) // 60_000)
-    model = Model(trained(usual[::step], ORDINARY_BYTES), trained(toxic_passages(toxic, ordinary), TOXIC_BYTES))
+    model = Model(trained(usual, ORDINARY_BYTES), trained(toxic_passages(toxic, ordinary), TOXIC_BYTES))
     if toxic and ordinary:
         both = model.compressors()
         model.fit(np.array([model.features(t, both) for t in texts]), y)

@@ -5,7 +5,8 @@ the interval of the keys that start with the rule's own key. Urls are dealt by r
 its sorted urls and the sorted rules together, with a stack of the nested rules whose interval holds the current key.
 
 A null url, or one without "://", has an empty host and path and fits no rule. A rule fits when the path starts with the
-rule's; the longest (host and path together, then host) wins; of equal rules the last given. Repeated rows are judged each.
+rule's; the longest (host and path together, then host) wins; of equal rules the greatest verdict, as text. Repeated rows are judged each, extra columns dropped.
+The id column may have any name but those of the other columns given (host, path, rule, verdict): that is an error.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ class _Sweep:
     def __init__(self, rules: list[tuple[str, str, str]]) -> None:
         by_key: dict[str, dict[str, tuple[str, str]]] = {}
         for host, path, verdict in rules:
-            by_key.setdefault(_key(host), {})[path] = (host + path, verdict)
+            of = by_key.setdefault(_key(host), {})
+            of[path] = max(of.get(path, (host + path, "")), (host + path, verdict or ""))
         self.keys = sorted(by_key)
         self.rules = [by_key[k] for k in self.keys]
         self.next, self.stack = 0, []
@@ -66,6 +68,8 @@ class _Sweep:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_sent: int = MOST_RULES_SENT) -> DataFrame:
     """rules: host, path, verdict. Gives id, host, path, rule (null: none fits) and verdict."""
+    if id_col in ("host", "path", "rule", "verdict", "_key"):
+        raise ValueError(f"an id column called {id_col} would clash with a column of the result")
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("_key", host_key(F.col("host")))
     known = [tuple(r) for r in rules.select("host", "path", "verdict").where("host is not null and path is not null").limit(most_sent + 1).collect()]

@@ -130,6 +130,19 @@ def test_quality(docs, empty, labels):
     assert quality.quality_report(docs, labels.limit(0)).where("perplexity is not null").agg(F.min("perplexity")).first()[0] == pytest.approx(256, rel=1e-3)
 
 
+@pytest.mark.parametrize("accuracy", [12, 10_000])
+def test_quantiles_are_exact(spark, accuracy, monkeypatch):
+    monkeypatch.setattr(quality, "ACCURACY", accuracy)
+    rng = random.Random(4)
+    rows = [(f"k{i % 3}", rng.choice([1.0, 2.0, rng.random() * 5, None])) for i in range(900)] + [("one", 7.0), ("none", None)]
+    got = {r.k: r.threshold for r in quality.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v", 0.9).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        want[k] = own[max(1, math.ceil(len(own) * 0.9)) - 1] if own else None
+    assert got == want
+
+
 # -- 3 mixing --------------------------------------------------------------------------------------------------------------
 
 
@@ -183,16 +196,18 @@ def test_reply_tree_of_many_levels(spark, monkeypatch):
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     bits = ["\\", "#", "<", "</turn>", "\n", "### assistant:\n", ":", "é", "x", "$1"]
-    rows = [(i % 7, j, rng.choice(["user", "assistant", "a:b\\", None]), rng.choice([None, "", *("".join(rng.choices(bits, k=12)) for _ in range(3))])) for i in range(14) for j in range(4)]
+    rows = [(i % 7 or None, j if i else None, rng.choice(["user", "assistant", "a:b\\", None]), rng.choice([None, "", *("".join(rng.choices(bits, k=12)) for _ in range(3))])) for i in range(14) for j in range(4)]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("score", F.lit("clash"))
     want = defaultdict(list)
-    for c, n, r, x in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+    for c, n, r, x in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
         want[c].append((r or "", x or ""))
     got = chat.read_back(chat.format_paths(chat.turns_to_nodes(t))).collect()
     for r in got:
         assert [(x.role, x.text) for x in r.turns] == want[r.conv_id]
         assert r.loss_text == "".join(x for role, x in want[r.conv_id] if role == "assistant")
-    assert len(got) == 7
+    assert len(got) == 7 and any(r.conv_id is None for r in got)
+    long = spark.createDataFrame([(None, 1, "user", "<#" * 300_000), (None, 1, "user", "<#" * 300_000)], "conv_id long, turn long, role string, text string")
+    assert [[x.text for x in r.turns] for r in chat.read_back(chat.format_paths(chat.turns_to_nodes(long))).collect()] == [["<#" * 300_000] * 2]
     assert chat.format_paths(chat.turns_to_nodes(t.limit(0))).count() == 0
 
 
@@ -204,7 +219,7 @@ def test_urls(spark):
     hosts = ["net", "a.net", "b.a.net", "anet", "org", "x.org", "example.net", "w.example.net", "", ".net", "EXAMPLE.com"]
     paths = ["", "/", "/en/", "/en", "/en/x?y", "/de/#t", "/fr/1", "?q=/en/"]
     given = [None, "", "no scheme", "http://"] + [f"{rng.choice(['http', 'x'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(200)]
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.net", "/en", "block"), ("net", "/en/x", "allow"), ("b.a.net", "", "block")]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.net", "/en", "block"), ("net", "/en/x", "allow"), ("b.a.net", "", "block"), ("a.net", "/en", "allow"), ("x.org", "/en/", "block"), ("x.org", "/en/", "allow")]
     t = spark.createDataFrame([(i, u, "z") for i, u in enumerate(given)], "page_id long, url string, host string")
     r = spark.createDataFrame(rules, "host string, path string, verdict string")
     swept = sorted(map(tuple, urls.filter_urls(t, r).collect()))
@@ -218,6 +233,8 @@ def test_urls(spark):
         fit = [(len(a + b), len(a), a + b, v) for a, b, v in rules if (host == a or host.endswith("." + a)) and path.startswith(b)]
         assert (rule, verdict) == (max(fit)[2:] if fit else (None, "allow"))
     assert urls.filter_urls(t.limit(0), r).count() == 0
+    with pytest.raises(ValueError, match="clash"):
+        urls.filter_urls(t.withColumnRenamed("page_id", "rule"), r, id_col="rule")
 
 
 # -- 6 pieces --------------------------------------------------------------------------------------------------------------
