@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class the row with the least id; of rows that share it, the first by a hash of the text. A class is one of rows,
     so different texts under one id, or without one, all stay."""
     rows = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
-    classes = jaccard.components(rows.select(F.col(_ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(_ROW), "component_id")
+    classes = jaccard.components(rows.select(F.col(_ROW).alias("doc_id"), "text"), count_links=False).select(F.col("doc_id").alias(_ROW), "component_id")
     order = rows.select(_ROW, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     least = order.join(classes, _ROW).groupBy("component_id").agg(F.min(F.struct("_id", "_hash", _ROW)).alias("_least"))
     return rows.join(least.select(F.col(f"_least.{_ROW}")), _ROW, "left_semi").select(*docs.columns)
