@@ -100,7 +100,9 @@ def log_name(n: Column) -> Column:
 
 
 def request_id(prefix: Column, counter: Column, ts: Column) -> Column:
-    return F.concat_ws("-", prefix, counter.cast("string"), F.lower(F.hex(F.unix_micros(ts.cast("timestamp")))))
+    """prefix, the counter as 8 hex digits at least, and the low 32 bits of the milliseconds as 8 hex digits."""
+    padded = lambda n: F.lpad(F.lower(F.hex(n)), F.greatest(F.lit(8), F.length(F.hex(n))), F.lit("0"))
+    return F.concat_ws("-", prefix, padded(counter.cast("long")), padded(F.unix_millis(ts.cast("timestamp")).bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def metric_number(x: Column) -> Column:

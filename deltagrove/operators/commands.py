@@ -129,7 +129,7 @@ def apply(state: State, name: str, data: str | None, flags: int | None, delta: i
         return "TOUCHED"
     if name in ("incr", "decr"):
         if not (state.value.isascii() and (state.value.isdigit() or state.value == "")):
-            return "CLIENT_ERROR cannot increment or decrement non-numeric value"
+            return "CLIENT_ERROR cannot increment non-numeric value"
         old = int(state.value or 0)
         new = (old + delta) % (1 << 64) if name == "incr" else max(0, old - delta)
         store(str(new), state.flags)

@@ -149,6 +149,7 @@ class Fifo:
     most_bytes: int = 640 << 20
     ttl_seconds: int = 0
     per_cycle: int = 10
+    stop: int = 100
 
     def expired(self, files: DataFrame, now) -> DataFrame:
         """The oldest files past their time."""
@@ -162,9 +163,14 @@ class Fifo:
         out = files.withColumn("freed_before", before.cast("long")).withColumn("_over", total - self.most_bytes)
         return out.where(F.col("freed_before") < F.col("_over")).orderBy("file_num").limit(self.per_cycle).select("file_num", "size", "freed_before")
 
-    def state(self, files: DataFrame) -> DataFrame:
+    def state(self, files: DataFrame, now=None) -> DataFrame:
+        """Compaction is due by size, and with a time to live (now given, files with created_at) by age; writes stall at
+        `stop` files."""
         total = F.coalesce(F.sum("size"), F.lit(0))
-        return files.agg(F.count("*").alias("files"), total.cast("long").alias("size"), (total > self.most_bytes).alias("needs_compaction"), (total > 2 * self.most_bytes).alias("stalled"), F.min("file_num").alias("oldest"), F.max("file_num").alias("newest"))
+        due = total > self.most_bytes
+        if self.ttl_seconds and now is not None:
+            due = due | (F.coalesce(F.min("created_at") < now - F.make_interval(secs=F.lit(self.ttl_seconds)), F.lit(False)))
+        return files.agg(F.count("*").alias("files"), total.cast("long").alias("size"), due.alias("needs_compaction"), (F.count("*") >= self.stop).alias("stalled"), F.min("file_num").alias("oldest"), F.max("file_num").alias("newest"))
 
 
 def fold_edits(edits: DataFrame) -> DataFrame:

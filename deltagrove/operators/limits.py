@@ -40,9 +40,10 @@ class SlidingWindow:
 
     def __init__(self, limit: int, window_us: int) -> None:
         self.limit, self.window = limit, window_us
-        self.at, self.now_count, self.before = None, 0, 0
+        self.at, self.now_count, self.before, self.last = None, 0, 0, 0
 
     def count(self, now: int) -> float:
+        self.last = now = max(self.last, now)
         start = now // self.window * self.window
         if self.at is not None and start > self.at:
             self.before = self.now_count if start == self.at + self.window else 0
@@ -56,11 +57,14 @@ class SlidingWindow:
             return True
         return False
 
-    def remaining(self) -> float:
-        return max(0.0, self.limit - self.now_count)
+    def remaining(self, now: int | None = None) -> float:
+        """What is left of the limit at a time, or at the last one asked about."""
+        return max(0.0, self.limit - self.count(self.last if now is None else now))
 
-    def retry_after(self, n: int = 1) -> float:
-        return 0.0 if self.now_count < self.limit else self.window / 1e6
+    def retry_after(self, n: int = 1, now: int | None = None) -> float:
+        """Seconds until the current window ends, where the limit is reached; else 0."""
+        now = self.last if now is None else now
+        return 0.0 if self.count(now) < self.limit else (self.at + self.window - now) / 1e6
 
 
 ADMITTED = "client string, ord long, allowed boolean, remaining double, retry_after double"

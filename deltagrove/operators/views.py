@@ -18,8 +18,8 @@ def newest(log: DataFrame, *order: Column) -> DataFrame:
 
 
 def as_of(log: DataFrame, seq: int | None = None, tombstones: bool = False) -> DataFrame:
-    """What a reader at seq sees (None or 0: now)."""
-    rows = newest(log.where(F.col("seq") <= seq) if seq else log)
+    """What a reader at seq sees (None: now; 0: the empty log)."""
+    rows = newest(log if seq is None else log.where(F.col("seq") <= seq))
     return rows if tombstones else rows.where(F.col("op") == PUT)
 
 
@@ -38,7 +38,7 @@ def get(log: DataFrame, key, seq: int | None = None) -> DataFrame:
 
 def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFrame:
     """keys: pos, key. The hits in the order asked. Only the log's rows of those keys are folded."""
-    asked = log.join(keys.select("key").distinct(), "key", "left_semi")
+    asked = log.join(keys.select("key"), "key", "left_semi")
     return keys.join(as_of(asked, seq), "key").orderBy("pos")
 
 

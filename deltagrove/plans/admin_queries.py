@@ -173,7 +173,7 @@ def _(s, d):
     return table(s, d, "events").where("props is not null").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("request_ids", "select event_id, 'req-' || event_id::varchar || '-' || lower(hex(epoch_us(ts))) as request_id from events")
+@query("request_ids", "select event_id, 'req-' || printf('%08x', event_id) || '-' || printf('%08x', (epoch_us(ts) // 1000) & 4294967295) as request_id from events")
 def _(s, d):
     e = table(s, d, "events")
     return e.select("event_id", scalar.request_id(F.lit("req"), F.col("event_id"), F.col("ts")).alias("request_id"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import commands, limits, views
+from ..operators.sequence import shared_folder
 from ..schema import PROTOCOL_KEY
 from ..sources import transfer
 from .catalog import LOG_SQL, event_log, query, table
@@ -21,11 +22,11 @@ def _(s, d):
     return commands.gets(views.latest(event_log(s, d))).select(F.col("key").alias("k"), F.col("value").alias("v"), "cas")
 
 
-_ROWS = "select printf('user:%06d', c_custkey) as k, c_name as v from customer where c_custkey <= 400"
+_ROWS = "select printf('user:%06d', c_custkey) as k, c_name as v from customer"
 
 
 def _new_rows(s, d):
-    return table(s, d, "customer").where("c_custkey <= 400").select(F.format_string("user:%06d", "c_custkey").alias("key"), F.col("c_name").alias("value"))
+    return table(s, d, "customer").select(F.format_string("user:%06d", "c_custkey").alias("key"), F.col("c_name").alias("value"))
 
 
 @query("cmd_add", f"{L} select r.* from ({_ROWS}) r where not exists (select 1 from live where live.k = r.k)")
@@ -77,7 +78,7 @@ def _(s, d):
 
 
 _STEPS = [("k", 1, "add", "a", None), ("k", 2, "add", "b", None), ("k", 3, "append", "c", None), ("k", 4, "prepend", "0", None), ("k", 5, "get", None, None), ("k", 6, "incr", None, 5), ("k", 7, "touch", None, None), ("k", 8, "delete", None, None), ("k", 9, "replace", "x", None), ("n", 1, "set", "5", None), ("n", 2, "decr", None, 10), ("n", 3, "incr", None, 18446744073709551615), ("n", 4, "incr", None, 2), ("n", 5, "delete", None, None), ("n", 6, "incr", None, 1)]
-_REPLIES = ["STORED", "NOT_STORED", "STORED", "STORED", "VALUE 0ac", "CLIENT_ERROR cannot increment or decrement non-numeric value", "TOUCHED", "DELETED", "NOT_STORED", "STORED", "0", "18446744073709551615", "1", "DELETED", "NOT_FOUND"]
+_REPLIES = ["STORED", "NOT_STORED", "STORED", "STORED", "VALUE 0ac", "CLIENT_ERROR cannot increment non-numeric value", "TOUCHED", "DELETED", "NOT_STORED", "STORED", "0", "18446744073709551615", "1", "DELETED", "NOT_FOUND"]
 
 
 @query("command_replies", "select * from (values " + ", ".join(f"('{r[0]}', {r[1]}::bigint, '{reply}')" for r, reply in zip(_STEPS, _REPLIES, strict=True)) + ") t(k, ord, reply)")
@@ -178,13 +179,21 @@ def _(s, d):
     return e.where(F.col("ts") >= F.lit(e.agg(F.max("ts")).first()[0]) - F.make_interval(secs=F.lit(259_200))).select("event_id")
 
 
-def _folder():
-    return f"file://{tempfile.mkdtemp()}"
+def _folder(s):
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_folder(s).rstrip('/')}/deltagrove-{uuid.uuid4().hex}"
+
+
+def _lines(s, text):
+    """A folder that holds one text file of these lines."""
+    path = _folder(s)
+    s.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(path)
+    return path
 
 
 @query("import_csv", """select 'import/' || c_custkey::varchar as k, c_name || '"x",' || chr(10) || 'y' as v from customer""")
 def _(s, d):
-    path = _folder() + "/csv"
+    path = _folder(s) + "/csv"
     rows = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.concat("c_name", F.lit('"x",\ny')).alias("value"))
     transfer.write_csv(rows, path, header=True)
     got, _ = transfer.read_csv(s, path, header=True, key_prefix="import/")
@@ -193,15 +202,12 @@ def _(s, d):
 
 @query("import_csv_counts", "select 5::bigint as total, 3::bigint as imported, 2::bigint as failed")
 def _(s, d):
-    folder = tempfile.mkdtemp()
-    with open(f"{folder}/a.csv", "w") as f:
-        f.write("k1;v1\nkeyonly\nk2;v2\n;v3\nk4;v4;more\n")
-    return transfer.read_csv(s, f"file://{folder}", delimiter=";")[1]
+    return transfer.read_csv(s, _lines(s, ["k1;v1", "keyonly", "k2;v2", ";v3", "k4;v4;more"]), delimiter=";")[1]
 
 
 @query("import_jsonl", "select 'user:' || event_id::varchar as k, coalesce(props, '') as v from events")
 def _(s, d):
-    path = _folder() + "/json"
+    path = _folder(s) + "/json"
     e = table(s, d, "events").select(F.concat(F.lit("user:"), F.col("event_id").cast("string")).alias("key"), F.coalesce("props", F.lit("")).alias("value"))
     transfer.write_jsonl(e, path)
     got, _ = transfer.read_jsonl(s, path)
@@ -210,10 +216,8 @@ def _(s, d):
 
 @query("import_jsonl_values", "select * from (values ('a', '1'), ('b', 'true'), ('c', 'null'), ('d', '{\"x\":[1,2]}'), ('e', '')) t(k, v)")
 def _(s, d):
-    folder = tempfile.mkdtemp()
-    with open(f"{folder}/a.jsonl", "w") as f:
-        f.write('{"k":"a","v":1}\n\n{"k":"b","v":true}\n{"k":"c","v":null}\n{"k":"d","v":{"x":[1,2]}}\nnot json\n{"v":"no key"}\n{"k":"e","v":""}\n')
-    got, _ = transfer.read_jsonl(s, f"file://{folder}", "k", "v")
+    lines = ['{"k":"a","v":1}', "", '{"k":"b","v":true}', '{"k":"c","v":null}', '{"k":"d","v":{"x":[1,2]}}', "not json", '{"v":"no key"}', '{"k":"e","v":""}']
+    got, _ = transfer.read_jsonl(s, _lines(s, lines), "k", "v")
     return got.select(F.col("key").alias("k"), F.col("value").alias("v"))
 
 
@@ -229,7 +233,7 @@ def _(s, d):
 
 @query("import_tables", f"{L}, p as (select *, case when k < 'user:000075' then 0 else 1 end as part from log) select (part + 7)::bigint as file_num, 0 as level, min(k) as min_key, max(k) as max_key, min(seq) as min_seq, max(seq) as max_seq, count(*) as num_keys from p group by part")
 def _(s, d):
-    base = _folder()
+    base = _folder(s)
     e = event_log(s, d)
     for i, part in enumerate((e.where("key < 'user:000075'"), e.where("key >= 'user:000075'"))):
         part.coalesce(1).sortWithinPartitions("key", F.desc("seq")).write.parquet(f"{base}/part={i}")

@@ -28,14 +28,14 @@ def _(s, d):
     return asked.join(view, "key", "left").select(F.col("key").alias("k"), F.coalesce("_t", F.lit(False)).alias("found"))
 
 
-_ASKED = "(select row_number() over (order by o_orderkey) as pos, printf('order:%010d', o_orderkey) as k from orders where o_orderkey % 3 = 0)"
+_ASKED = "(select row_number() over (order by o_orderkey) as pos, printf('order:%010d', o_orderkey) as k from orders)"
 
 
 @query("kv_multi_get", f"select pos, a.k, o_orderpriority as v from {_ASKED} a join orders on printf('order:%010d', o_orderkey) = a.k")
 def _(s, d):
     from ..operators.sequence import numbered
 
-    asked = numbered(table(s, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey"), [F.col("o_orderkey")], "pos")
+    asked = numbered(table(s, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], "pos")
     asked = asked.select(F.col("pos").cast("long").alias("pos"), F.format_string("order:%010d", "o_orderkey").alias("key"))
     return views.multi_get(order_log(s, d), asked).select("pos", F.col("key").alias("k"), F.col("value").alias("v"))
 
@@ -135,12 +135,12 @@ def _(s, d):
     return kv(views.merge_sources([e.where("seq <= 4000"), e.where("seq between 3001 and 7000"), e.where("seq > 6500")]))
 
 
-@query("kv_table_merge", f"""{L}, src as (select *, 1 as level, 10 as file_num from log where seq % 2 = 0 union all select k, seq, op, v || '!', 0, 11 from log where seq % 4 = 0 union all select *, 1, 12 from log where seq % 3 = 0)
+@query("kv_table_merge", f"""{L}, src as (select *, 1 as level, 10 as file_num from log where seq % 2 = 0 union all select k, seq, op, v || '!', 0, 11 from log where seq % 4 = 0 union all select *, 1, 12 from log where seq % 3 = 0 or seq % 2 = 1)
 select k, seq, v from (select *, row_number() over (partition by k order by seq desc, level, file_num desc) as n from src) where n = 1 and op = 0""")
 def _(s, d):
     e = event_log(s, d)
     at = lambda rows, level, n: rows.withColumn("level", F.lit(level)).withColumn("file_num", F.lit(n))
-    src = at(e.where("seq % 2 = 0"), 1, 10).unionByName(at(e.where("seq % 4 = 0").withColumn("value", F.concat("value", F.lit("!"))), 0, 11)).unionByName(at(e.where("seq % 3 = 0"), 1, 12))
+    src = at(e.where("seq % 2 = 0"), 1, 10).unionByName(at(e.where("seq % 4 = 0").withColumn("value", F.concat("value", F.lit("!"))), 0, 11)).unionByName(at(e.where("seq % 3 = 0 or seq % 2 = 1"), 1, 12))
     return kv(views.table_merge(src))
 
 
@@ -156,11 +156,11 @@ def _(s, d):
     return views.snapshot_diff(event_log(s, d), 3000, 8000).withColumnRenamed("key", "k")
 
 
-@query("kv_write_batch", """with b as (select printf('batch:%04d', c_custkey) as k, c_name as v, row_number() over (order by c_custkey) + (select max(event_id) + 1 from events) as seq from customer where c_custkey % 10 = 0)
+@query("kv_write_batch", """with b as (select printf('batch:%04d', c_custkey) as k, c_name as v, row_number() over (order by c_custkey) + (select max(event_id) + 1 from events) as seq from customer)
 select k, seq, v from b""")
 def _(s, d):
     e = event_log(s, d)
-    rows = table(s, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.format_string("batch:%04d", "c_custkey").alias("key"), F.lit(0).alias("op"), F.col("c_name").alias("value"))
+    rows = table(s, d, "customer").select("c_custkey", F.format_string("batch:%04d", "c_custkey").alias("key"), F.lit(0).alias("op"), F.col("c_name").alias("value"))
     return kv(views.append(e, rows, "c_custkey").where(F.startswith("key", F.lit("batch:"))))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.bytecodes import crc32c_of
 from ..schema import HEADER, Corruption
 
-BLOCK, RECORD_HEADER = 32 << 10, 7
+#: A record is a CRC of 4 bytes, a length of 4, a type of 1, and its payload.
+BLOCK, RECORD_HEADER = 32 << 10, 9
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
 ROWS = "file_num bigint, key binary, seq bigint, op tinyint, value binary, problem string"
 
@@ -44,7 +45,7 @@ def write_records(payloads: list[bytes]) -> bytes:
                 room = BLOCK
             part, p = p[: room - RECORD_HEADER], p[room - RECORD_HEADER :]
             kind = (FULL if first else LAST) if not p else (FIRST if first else MIDDLE)
-            out += crc32c_of(bytes([kind]) + part).to_bytes(4, "little") + len(part).to_bytes(2, "little") + bytes([kind]) + part
+            out += crc32c_of(bytes([kind]) + part).to_bytes(4, "little") + len(part).to_bytes(4, "little") + bytes([kind]) + part
             first = False
             if not p:
                 break
@@ -59,7 +60,7 @@ def read_records(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
         if room < RECORD_HEADER:
             at += room
             continue
-        size, kind = int.from_bytes(data[at + 4 : at + 6], "little"), data[at + 6] if at + 6 < len(data) else 0
+        size, kind = int.from_bytes(data[at + 4 : at + 8], "little"), data[at + 8] if at + 8 < len(data) else 0
         body = data[at + RECORD_HEADER : at + RECORD_HEADER + size]
         if kind == 0 and size == 0:
             at += room
@@ -89,7 +90,24 @@ def read_records(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """The entries of all log files below a path, with problems as rows of their own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path)
-    files = files.select(F.regexp_extract("path", r"([0-9]+)\.wal$", 1).cast("long").alias("file_num"), "content")
+    return replayed(files.select(F.regexp_extract("path", r"([0-9]+)\.wal$", 1).cast("long").alias("file_num"), "content"))
+
+
+def build_logs(entries: DataFrame) -> DataFrame:
+    """file_num and content of log files that hold the entries (file_num, key, seq, op, value) in the order of seq; each file
+    is built in one task, as a log file is bounded by rotation."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        entry = [encode_entry(k, s, o, None if v is None else v) for k, s, o, v in zip(pdf["key"], pdf["seq"], pdf["op"], pdf["value"], strict=True)]
+        return pd.DataFrame({"file_num": [pdf["file_num"].iloc[0]], "content": [write_records(entry)]})
+
+    binary = entries.select("file_num", F.col("key").cast("binary").alias("key"), "seq", F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
+    return binary.groupBy("file_num").applyInPandas(run, "file_num bigint, content binary")
+
+
+def replayed(files: DataFrame) -> DataFrame:
+    """The entries of log files given as file_num and content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from deltagrove import keys
 from deltagrove.cli import main
 from deltagrove.config import Config
-from deltagrove.functions import bytecodes
+from deltagrove.functions import bytecodes, scalar
 from deltagrove.operators import commands, compaction, limits, views
 from deltagrove.schema import InvalidKey, SnapshotReleased
 from deltagrove.sources import native, transfer
@@ -129,6 +129,48 @@ def test_log_files(spark, tmp_path):
     assert bad.where("problem is not null").count() >= 2
 
 
+def test_log_record_header(spark, tmp_path):
+    """A record built by hand: CRC-32C of type and payload (4 bytes), length (4), type (1), payload."""
+    payload = bytes([0]) + (1).to_bytes(4, "little") + (2).to_bytes(4, "little") + (7).to_bytes(8, "little") + b"kvv"
+    record = bytecodes.crc32c_of(b"\x01" + payload).to_bytes(4, "little") + len(payload).to_bytes(4, "little") + b"\x01" + payload
+    assert native.write_records([payload]) == record
+    big = native.write_records([b"x" * 40_000])
+    assert big[8] == 2 and int.from_bytes(big[4:8], "little") == 32_768 - 9 and big[32_768 + 8] == 4
+    (tmp_path / "3.wal").write_bytes(record * 2)
+    assert [tuple(r)[:4] for r in native.read_logs(spark, f"file://{tmp_path}").collect()] == [(3, bytearray(b"k"), 7, 0)] * 2
+
+
+def test_sliding_window_keeps_the_window_before():
+    w = limits.SlidingWindow(100, 1_000_000)
+    assert all(w.allow(0) for _ in range(80))
+    assert w.remaining(1_500_000) == 60 and w.retry_after(now=1_500_000) == 0
+    assert all(w.allow(1_500_000) for _ in range(60)) and not w.allow(1_500_000)
+    assert w.retry_after() == 0.5
+
+
+def test_fifo_state(spark):
+    t = spark.sql("select id as file_num, 10L as size, timestamp'2024-01-01' + make_interval(0, 0, 0, id) as created_at from range(4)")
+    now = F.to_timestamp(F.lit("2024-01-04 12:00:00"))
+    state = lambda f, **k: tuple(f.state(t, **k).select("needs_compaction", "stalled").first())
+    assert state(compaction.Fifo(most_bytes=40, stop=5)) == (False, False)
+    assert state(compaction.Fifo(most_bytes=39, stop=4)) == (True, True)
+    assert state(compaction.Fifo(most_bytes=40, ttl_seconds=86_400), now=now) == (True, False)
+    assert state(compaction.Fifo(most_bytes=40, ttl_seconds=864_000), now=now) == (False, False)
+
+
+def test_request_id(spark):
+    r = spark.sql("select timestamp_millis(1700000000123) as t").select(scalar.request_id(F.lit("p"), F.lit(17), F.col("t")), scalar.request_id(F.lit("p"), F.lit(1 << 36), F.col("t"))).first()
+    low = format(1700000000123 & 0xFFFFFFFF, "08x")
+    assert tuple(r) == (f"p-00000011-{low}", f"p-1000000000-{low}")
+
+
+def test_snapshot_of_an_empty_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    snap = store.snapshot()
+    store.put(b"k", b"v")
+    assert snap.get(b"k") is None and snap.view().count() == 0 and store.get(b"k") == b"v"
+
+
 def test_streams(spark, tmp_path):
     rows = [("k", 1, "set", "5"), ("k", 2, "incr", None), ("k", 3, "delete", None), ("n", 1, "get", None)]
     t = spark.createDataFrame(rows, "key string, ord long, name string, data string")
