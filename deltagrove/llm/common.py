@@ -53,6 +53,14 @@ def bucketed(df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
     return spark.table(name)
 
 
+def spread_join(rows: DataFrame, small: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """rows with the columns of small, which has one row a key (and a parts-fold copy of it is no burden). A key's rows are
+    spread over parts by a hash of the whole row, so that a hot key isn't one task's, and small needs no broadcast."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def lean() -> None:
     """Gives freed memory of this worker back, so that what one task held doesn't stay beside the next stage's."""
     gc.collect()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import NULL_ID, Blocks, deltas, expand, mix64, narrow, rest_of, rows_of, squeeze, undeltas, unpack, widen
-from .common import written
+from .common import spread_join, written
 
 ORDER = 5
 KEEP = 0.9
@@ -184,7 +184,7 @@ def quantiles(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
     edge = 3 / ACCURACY
     ends = F.percentile_approx(value, F.array(F.lit(max(0.0, q - edge)), F.lit(min(1.0, q + edge))), F.lit(ACCURACY))
     span = rows.groupBy(key).agg(ends.alias("_ends"), F.greatest(F.ceil(F.count(value) * F.lit(q)), F.lit(1)).alias("_rank"))
-    near = rows.select(key, value).join(span, key)
+    near = spread_join(rows, span, key)
     below = near.groupBy(key).agg(F.count(F.when(F.col(value) < F.col("_ends")[0], 1)).alias("_below"))
     between = near.where((F.col(value) >= F.col("_ends")[0]) & (F.col(value) <= F.col("_ends")[1]))
     ranked = between.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(value))).join(below, key)
@@ -196,6 +196,6 @@ def quality_report(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
     """doc_id, lang, perplexity, threshold (the keep quantile of the language) and good."""
     p = written(perplexities(docs.select("doc_id", "text", "lang"), labels))
     p = p.withColumn("_k", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")))
-    j = p.join(quantiles(p, "_k", "_perplexity", keep), "_k")
+    j = spread_join(p, quantiles(p, "_k", "_perplexity", keep), "_k")
     good = F.coalesce(F.col("_perplexity") <= F.col("threshold"), F.lit(False))
     return j.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), "threshold", good.alias("good"))
