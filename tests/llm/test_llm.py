@@ -581,7 +581,7 @@ def test_pipeline_stages(spark, docs, empty, tmp_path, labels):
         assert stage(spark, empty, sf).count() == 0, name
     near = [(r.doc_id, r.text) for r in steps["near copies"](spark, docs, sf).collect()]
     parts = defaultdict(list)
-    for d, _, c in brute_components([(r[0], r[1]) for r in document_rows()]):
+    for d, _, c, _ in brute_components([(r[0], r[1]) for r in document_rows()]):
         parts[c].append(d)
     assert sorted((d for d, _ in near), key=str) == sorted(parts, key=str)
     assert corpus_pipeline.run(spark, sf).count() > 0
