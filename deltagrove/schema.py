@@ -40,6 +40,10 @@ class Corruption(StoreError):
     pass
 
 
+class JobRunning(StoreError):
+    pass
+
+
 def entry_size(key: Column, value: Column) -> Column:
     return (F.lit(HEADER) + F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0))).cast("long")
 

@@ -12,7 +12,7 @@ from deltagrove.cli import main
 from deltagrove.config import Config
 from deltagrove.functions import bytecodes, scalar
 from deltagrove.operators import commands, compaction, limits, views
-from deltagrove.schema import InvalidKey, SnapshotReleased
+from deltagrove.schema import Corruption, InvalidKey, SnapshotReleased, WriteStalled
 from deltagrove.sources import native, transfer
 from deltagrove.store import Store
 from deltagrove.streaming import jobs
@@ -252,3 +252,75 @@ def test_missing_llm_is_fine(monkeypatch):
 
     monkeypatch.setattr(__spark_entry__, "_present", lambda module: False)
     assert "kv_latest" in __spark_entry__.queries() and "kv_latest" in __spark_entry__.oracle_sql()
+
+
+def test_snapshots_outlast_the_process(spark, tmp_path):
+    at = f"file://{tmp_path}/s"
+    s = Store(spark, at)
+    s.write_batch([(b"a", b"1"), (b"b", b"2")])
+    first = s.snapshot()
+    s.write_batch([(b"a", b"3"), (b"b", None)])
+    other = Store(spark, at)
+    assert [(x.id, x.seq) for x in other.active_snapshots()] == [(1, 2)] and other.oldest_seq() == 2
+    other.compact()
+    assert first.get(b"a") == b"1" and other.open_snapshot(1).get(b"b") == b"2" and other.get(b"b") is None
+    first.release()
+    first.release()
+    with pytest.raises(SnapshotReleased):
+        other.open_snapshot(1)
+    assert other.snapshot().id == 2
+
+
+def test_one_of_two_writers_of_a_version_wins(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    old = s._state()
+    s._commit(old, last_seq=7)
+    with pytest.raises(WriteStalled):
+        s._commit(old, last_seq=8)
+    assert s.last_seq == 7 and not [n for n in s._names("_catalog") if n.endswith(".tmp")]
+
+
+def test_incremental_backups_and_their_chain(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    full, inc, last = (f"file://{tmp_path}/{n}" for n in ("full", "inc", "last"))
+    s.write_batch([(b"a", b"1"), (b"b", b"2")])
+    s.backup(full)
+    s.put(b"c", b"3")
+    s.backup(inc, full)
+    assert spark.read.parquet(f"{inc}/data").count() == 1  # the new run alone
+    s.delete(b"a")
+    s.compact()
+    s.put(b"d", b"4")
+    s.backup(last, inc)
+    t = Store(spark, f"file://{tmp_path}/t")
+    t.restore(inc)
+    assert kv(t.latest()) == [(b"a", b"1"), (b"b", b"2"), (b"c", b"3")] and t.last_seq == 3
+    t.restore(last)  # runs that the compaction made void don't come back
+    assert kv(t.latest()) == [(b"b", b"2"), (b"c", b"3"), (b"d", b"4")]
+    t.restore(inc, seq=1)
+    assert kv(t.latest()) == [(b"a", b"1")]
+    spark.createDataFrame([(bytearray(b"x"), 9, 0, bytearray(b"y"))], "key binary, seq long, op tinyint, value binary").write.parquet(f"{full}/data/folder=more")
+    with pytest.raises(Corruption):
+        t.restore(inc)
+
+
+def test_strategies_drive_compaction(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s", Config(level0_trigger=2, level0_stop=3))
+    for i in range(3):
+        s.write_batch([(b"k%d" % (i % 2), b"%d" % i), (b"gone", None if i == 2 else b"x")])
+    with pytest.raises(WriteStalled):
+        s.put(b"more", b"")
+    assert s.run_compactions() == 1 and [(r["level"], r["num_keys"]) for r in s._state()["runs"]] == [(1, 2)]
+    assert kv(s.latest()) == [(b"k0", b"2"), (b"k1", b"1")]
+    p = s.properties().first()
+    assert (p.compactions, p.dropped_entries, p.live_keys, p.live_bytes, p.tombstones) == (1, 4, 2, 6, 0)
+    s.delete(b"k0")
+    s.delete(b"nope")
+    s.set_strategy("tiered")
+    assert s.compact_step() is False  # three runs, four make a merge
+    s.put(b"z", b"")
+    assert s.run_compactions() == 1 and kv(s.latest()) == [(b"k1", b"1"), (b"z", b"")]
+    s.set_strategy("fifo")
+    s.put(b"y", b"")
+    s.config.fifo_bytes = s._state()["runs"][-1]["size"]
+    assert s.run_compactions() == 1 and kv(s.latest()) == [(b"y", b"")]
