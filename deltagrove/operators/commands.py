@@ -51,6 +51,60 @@ def parse(lines: DataFrame, column: str = "line") -> DataFrame:
     )
 
 
+def data_blocks(stream: bytes, most: int = MAX_PROTOCOL_VALUE) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """The lines of one connection's bytes, with the data block behind a storage line, or an error. A block must end with CRLF;
+    one too large is passed over."""
+    at = 0
+    while at < len(stream):
+        end = stream.find(b"\n", at)
+        end = len(stream) if end < 0 else end
+        line = stream[at:end].removesuffix(b"\r").decode("utf-8", "replace")
+        at = end + 1
+        words = line.split()
+        if not words:
+            return  # an empty line ends the input
+        if words[0].lower() not in STORAGE or len(words) < 5 or not (words[4].isascii() and words[4].isdigit()):
+            yield line, None, None
+            continue
+        size = int(words[4])
+        data, close = stream[at : at + size], stream[at + size : at + size + 2]
+        at += size + 2
+        if size > most:
+            yield line, None, "SERVER_ERROR object too large for cache"
+        elif len(data) < size or close != b"\r\n":
+            yield line, None, "CLIENT_ERROR bad data chunk"
+        else:
+            yield line, data, None
+
+
+def read_connections(connections: DataFrame) -> DataFrame:
+    """connections: conn, stream (binary). The parsed commands of each, numbered by ord, with their data. A connection's bytes
+    are one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(c, i, *x) for c, s in zip(pdf["conn"], pdf["stream"], strict=True) for i, x in enumerate(data_blocks(bytes(s or b"")))]
+            yield pd.DataFrame(rows, columns=["conn", "ord", "line", "data", "chunk_error"])
+
+    lines = connections.select("conn", "stream").mapInPandas(run, f"conn {connections.schema['conn'].dataType.simpleString()}, ord long, line string, data binary, chunk_error string")
+    return parse(lines).withColumn("error", F.coalesce("error", "chunk_error")).drop("chunk_error")
+
+
+def value_reply(key, flags, data, cas=None):
+    """VALUE with flags, length in bytes and, if given, the token; then the data, each ended by CRLF. END follows the last."""
+    words = [F.lit("VALUE"), key, F.coalesce(flags, F.lit(0)).cast("string"), F.octet_length(data).cast("string"), *([cas.cast("string")] if cas is not None else [])]
+    return F.concat(F.concat_ws(" ", *words), F.lit("\r\n"), data, F.lit("\r\n"))
+
+
+def get_replies(asked: DataFrame, view: DataFrame, tokens: bool = False) -> DataFrame:
+    """asked: request, pos, key (a key of a get line each). view: key, flags, value. The whole reply of each request: the keys
+    that are there in the order asked, then END."""
+    hit = asked.join(view, "key", "left")
+    text = F.when(F.col("value").isNotNull(), value_reply(F.col("key"), F.col("flags"), F.col("value"), fnv1a(F.col("value")) if tokens else None))
+    parts = F.array_sort(F.collect_list(F.struct("pos", text.alias("t"))))
+    return hit.groupBy("request").agg(F.concat(F.array_join(F.transform(parts, lambda x: F.coalesce(x["t"], F.lit(""))), ""), F.lit("END\r\n")).alias("reply"))
+
+
 def gets(view: DataFrame) -> DataFrame:
     """key, value and the compare-and-swap token."""
     return view.select("key", "value", fnv1a(F.coalesce("value", F.lit(""))).alias("cas"))

@@ -29,9 +29,18 @@ def file_catalog(log: DataFrame, rows_per_file: int = 1000) -> DataFrame:
     )
 
 
-def files_for_keys(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """The files whose closed range holds each key. The catalog is a row a file."""
-    return keys.join(files, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
+def files_for_keys(files: DataFrame, keys: DataFrame, cells: int = 128) -> DataFrame:
+    """The files whose closed range holds each key. The key space is cut into at most so many cells at files' least keys; keys
+    and files meet by an equi-join on cells, so neither side is broadcast by need nor all pairs formed. A file is there once
+    for each cell it reaches: files of a level are disjoint, and level 0 is bounded by its stop limit."""
+    parts = files.select("min_key").repartitionByRange(cells, "min_key").groupBy(F.spark_partition_id()).agg(F.min("min_key").alias("b"))
+    bounds = sorted(r.b for r in parts.collect())  # at most `cells`
+    if not bounds:
+        return keys.join(files, F.lit(False))
+    cuts = F.array(*(F.lit(b) for b in bounds))
+    cell = lambda c: F.size(F.filter(cuts, lambda b: b <= c))
+    dealt = files.withColumn("_cell", F.explode(F.sequence(cell(F.col("min_key")), cell(F.col("max_key")))))
+    return keys.withColumn("_cell", cell(F.col("key"))).join(dealt, "_cell").where((F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).drop("_cell")
 
 
 def files_overlapping(files: DataFrame, low, high) -> DataFrame:

@@ -19,21 +19,58 @@ class TokenBucket:
         self.burst = burst if burst and burst > 0 else self.rate
         self.tokens, self.last = self.burst, None
 
-    def allow(self, now: int, n: float = 1) -> bool:
+    def available(self, now: int) -> float:
+        """The tokens at a time; time doesn't go back."""
         if self.last is not None and now > self.last:
             self.tokens = min(self.burst, self.tokens + (now - self.last) / 1e6 * self.rate)
         self.last = now if self.last is None else max(now, self.last)
-        if self.tokens >= n:
+        return self.tokens
+
+    def allow(self, now: int, n: float = 1) -> bool:
+        if self.available(now) >= n:
             self.tokens -= n
             return True
         return False
 
+    def reserve(self, now: int, n: float = 1) -> float:
+        """Seconds until n tokens are there; takes none."""
+        self.available(now)
+        return self.retry_after(n)
+
+    def wait(self, now: int) -> float:
+        """Seconds that a caller who waits for one token spends; the token is taken at their end."""
+        seconds = self.reserve(now)
+        self.available(now + round(seconds * 1e6))
+        self.tokens -= 1
+        return seconds
+
+    def set_rate(self, rate: float, now: int) -> None:
+        """What came back until now came at the old rate. Rates of 0 or less change nothing."""
+        self.available(now)
+        self.rate = rate if rate > 0 else self.rate
+
+    def set_burst(self, burst: float, now: int) -> None:
+        self.available(now)
+        if burst > 0:
+            self.burst, self.tokens = burst, min(self.tokens, burst)
+
+    def reset(self, now: int) -> None:
+        self.tokens, self.last = self.burst, now
+
     def remaining(self) -> float:
         return self.tokens
 
     def retry_after(self, n: float = 1) -> float:
         return max(0.0, (n - self.tokens) / self.rate)
 
+    @property
+    def limit(self) -> float:
+        return self.burst
+
+    def reset_at(self) -> int:
+        """When the bucket is full again, if nothing is taken."""
+        return (self.last or 0) + round((self.burst - self.tokens) / self.rate * 1e6)
+
 
 class SlidingWindow:
     """Two fixed windows; the one before counts by the share of it that the sliding window still covers."""
@@ -66,12 +103,20 @@ class SlidingWindow:
         now = self.last if now is None else now
         return 0.0 if self.count(now) < self.limit else (self.at + self.window - now) / 1e6
 
+    def reset_at(self) -> int:
+        """The end of the current window."""
+        return (self.at or 0) + self.window
+
+    def reset(self, now: int) -> None:
+        self.at, self.now_count, self.before, self.last = None, 0, 0, now
+
 
-ADMITTED = "client string, ord long, allowed boolean, remaining double, retry_after double"
+ADMITTED = "client string, ord long, allowed boolean, remaining double, limit double, retry_after double, reset_us long"
 
 
 def admit(requests: DataFrame, limiter) -> DataFrame:
-    """requests: client, ord, ts. limiter() makes a client's limiter."""
+    """requests: client, ord, ts. limiter() makes a client's limiter. The answers: allowed, remaining, limit, retry_after
+    (seconds, 0 if allowed) and reset_us (when the limit is whole again, microseconds of the epoch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, own = None, None
@@ -81,9 +126,9 @@ def admit(requests: DataFrame, limiter) -> DataFrame:
                 if own is None or c != client:
                     client, own = c, limiter()
                 ok = own.allow(us)
-                out.append((ok, own.remaining(), 0.0 if ok else own.retry_after()))
-            a, r, w = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"client": pdf["client"], "ord": pdf["ord"], "allowed": a, "remaining": r, "retry_after": w})
+                out.append((ok, own.remaining(), float(own.limit), 0.0 if ok else own.retry_after(), own.reset_at()))
+            a, r, m, w, t = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pd.DataFrame({"client": pdf["client"], "ord": pdf["ord"], "allowed": a, "remaining": r, "limit": m, "retry_after": w, "reset_us": t})
 
     t = requests.select("client", "ord", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return t.repartition("client").sortWithinPartitions("client", "us", "ord").mapInPandas(run, ADMITTED)
@@ -97,12 +142,12 @@ def sliding_window(requests: DataFrame, limit: int, window_seconds: int) -> Data
     return admit(requests, lambda: SlidingWindow(limit, window_seconds * 1_000_000))
 
 
-def two_level(requests: DataFrame, global_rate: float, client_rate: float) -> DataFrame:
+def two_level(requests: DataFrame, global_rate: float, client_rate: float, global_burst: float | None = None, client_burst: float | None = None) -> DataFrame:
     """First the limiter of all, then the client's; what the first admitted is spent though the second denies. The global
     limiter is one ordered stream by its nature."""
-    first = admit(requests.withColumn("client", F.lit("*")), lambda: TokenBucket(global_rate)).select("ord", F.col("allowed").alias("global_allowed"))
+    first = admit(requests.withColumn("client", F.lit("*")), lambda: TokenBucket(global_rate, global_burst)).select("ord", F.col("allowed").alias("global_allowed"))
     asked = requests.join(first, "ord")
-    second = token_bucket(asked.where("global_allowed"), client_rate, client_rate).select("ord", F.col("allowed").alias("client_allowed"))
+    second = token_bucket(asked.where("global_allowed"), client_rate, client_burst or client_rate).select("ord", F.col("allowed").alias("client_allowed"))
     return asked.join(second, "ord", "left").select("client", "ord", "global_allowed", (F.col("global_allowed") & F.coalesce("client_allowed", F.lit(False))).alias("allowed"))
 
 

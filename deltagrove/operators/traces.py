@@ -23,6 +23,41 @@ def b3(header: Column) -> Column:
     return F.struct(F.when(ok, F.lpad(at(1), 32, "0")).alias("trace_id"), F.when(ok, at(2)).alias("span_id"), F.when(ok, F.coalesce(at(3).isin("1", "d"), F.lit(False))).alias("sampled"))
 
 
+def _valid(trace_id: Column, span_id: Column) -> Column:
+    return trace_id.rlike("^[0-9a-f]{32}$") & (trace_id != "0" * 32) & span_id.rlike("^[0-9a-f]{16}$") & (span_id != "0" * 16)
+
+
+def traceparent_of(trace_id: Column, span_id: Column, sampled: Column) -> Column:
+    """The header that hands a context on; null if the context isn't valid."""
+    flags = F.when(sampled, "01").otherwise("00")
+    return F.when(_valid(trace_id, span_id), F.concat_ws("-", F.lit("00"), trace_id, span_id, flags))
+
+
+def b3_of(trace_id: Column, span_id: Column, sampled: Column) -> Column:
+    return F.when(_valid(trace_id, span_id), F.concat_ws("-", trace_id, span_id, F.when(sampled, "1").otherwise("0")))
+
+
+def b3_headers_of(trace_id: Column, span_id: Column, sampled: Column) -> Column:
+    """The form with a header for each part, as a map."""
+    parts = F.create_map(F.lit("x-b3-traceid"), trace_id, F.lit("x-b3-spanid"), span_id, F.lit("x-b3-sampled"), F.when(sampled, "1").otherwise("0"))
+    return F.when(_valid(trace_id, span_id), parts)
+
+
+def headers_of(trace_id: Column, span_id: Column, sampled: Column) -> Column:
+    """All forms at once, as a map."""
+    one = F.create_map(F.lit("traceparent"), traceparent_of(trace_id, span_id, sampled), F.lit("b3"), b3_of(trace_id, span_id, sampled))
+    return F.when(_valid(trace_id, span_id), F.map_concat(one, b3_headers_of(trace_id, span_id, sampled)))
+
+
+def extracted(headers: Column) -> Column:
+    """The context in a map of headers, names in any case: traceparent if it is valid, else b3, else the B3 parts."""
+    h = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+    at = lambda name: F.try_element_at(h, F.lit(name))
+    parts = b3(F.concat_ws("-", at("x-b3-traceid"), at("x-b3-spanid"), F.coalesce(at("x-b3-sampled"), F.when(at("x-b3-flags") == "1", "d"))))
+    w3c, single = traceparent(at("traceparent")), b3(at("b3"))
+    return F.when(w3c["trace_id"].isNotNull(), w3c).when(single["trace_id"].isNotNull(), single).otherwise(parts)
+
+
 def ratio_sampled(trace_id: Column, ratio: float) -> Column:
     """Whether the number in the trace id's last 16 hex digits is below ratio * 2^64."""
     if ratio <= 0:

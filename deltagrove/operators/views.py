@@ -36,10 +36,12 @@ def get(log: DataFrame, key, seq: int | None = None) -> DataFrame:
     return as_of(log.where(F.col("key") == F.lit(key)), seq)
 
 
-def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFrame:
-    """keys: pos, key. The hits in the order asked. Only the log's rows of those keys are folded."""
-    asked = log.join(keys.select("key"), "key", "left_semi")
-    return keys.join(as_of(asked, seq), "key").orderBy("pos")
+def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None, ordered: bool = True) -> DataFrame:
+    """keys: pos, key. The hits, ordered in the order asked. Only the log's rows of those keys are folded; the semi-join, the
+    fold and the join share one dealing by key, and only ordered adds a sort."""
+    asked = (log if seq is None else log.where(F.col("seq") <= seq)).join(keys.select("key"), "key", "left_semi")
+    out = keys.join(as_of(asked), "key")
+    return out.orderBy("pos") if ordered else out
 
 
 def scan(log: DataFrame, lower=None, upper=None, prefix=None, seq: int | None = None, tombstones: bool = False) -> DataFrame:

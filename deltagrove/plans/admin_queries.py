@@ -74,6 +74,45 @@ def _(s, d):
     return stats.latency_summary(table(s, d, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("ns")), ["event_type"], "ns")
 
 
+@query("latency_rates", f"""select event_type, count(*) as ops, count(*) filter (where user_id % 11 = 0) as errors, count(*) / 60.0::double as ops_per_second, sum(strlen(props))::bigint as bytes,
+sum(strlen(props)) / 60.0::double / 1048576.0::double as mb_per_second, (sum(ns) // count(*))::bigint as avg from (select *, floor(value * 1000)::bigint as ns from events) group by event_type""")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("ns"), F.octet_length("props").cast("long").alias("size"), (F.col("user_id") % 11 == 0).alias("failed"))
+    return stats.latency_summary(e, ["event_type"], "ns", "size", "failed", 60.0).select("event_type", "ops", "errors", "ops_per_second", "bytes", "mb_per_second", "avg")
+
+
+_MOVES = "select user_id, event_id, case event_type when 'signup' then 'set' when 'error' then 'dec' when 'purchase' then 'add' else 'inc' end as move, case when event_type in ('signup', 'purchase') then (event_id % 10)::double end as amount from events"
+
+
+@query("gauge_moves", f"""with m as ({_MOVES}), l as (select user_id, max(event_id) as at, max_by(amount, event_id) as v from m where move = 'set' group by 1)
+select m.user_id, (coalesce(max(l.v), 0) + coalesce(sum(case when l.at is null or event_id > l.at then case move when 'set' then 0 when 'dec' then -1 when 'inc' then 1 else amount end end), 0))::double as value from m left join l using (user_id) group by 1""")
+def _(s, d):
+    t = F.col("event_type")
+    move = F.when(t == "signup", "set").when(t == "error", "dec").when(t == "purchase", "add").otherwise("inc")
+    m = table(s, d, "events").select("user_id", "event_id", move.alias("move"), F.when(t.isin("signup", "purchase"), (F.col("event_id") % 10).cast("double")).alias("amount"))
+    return stats.gauge_moves(m, ["user_id"], "event_id")
+
+
+_KNOWN = ", ".join(f"('{m}', '{k}')" for m, k in stats.ENGINE_METRICS)
+_LE = ", ".join(f"('{b}', {b}::double)" for b in stats.LATENCY_BOUNDS)
+
+
+@query("engine_metrics", f"""with k(metric, kind) as (values {_KNOWN}), b(le, most) as (values {_LE}, ('+Inf', 'infinity'::double)),
+o as (select case event_type when 'view' then 'reads_total' when 'click' then 'read_latency_seconds' when 'purchase' then 'writes_total' when 'signup' then 'active_connections' else 'deletes_total' end as metric,
+  case when event_type = 'click' then (event_id % 1000) / 1000.0::double else (event_id % 7)::double end as amount, event_id from events),
+g as (select k.*, coalesce(sum(amount), 0) as s, count(amount) as n, coalesce(max_by(amount, event_id), 0) as last from k left join o using (metric) group by all)
+select 'deltagrove_' || metric as name, null as le, case kind when 'counter' then s else last end::double as value from g where kind <> 'histogram'
+union all select 'deltagrove_' || metric || '_sum', null, round(s, 6) from g where kind = 'histogram' union all select 'deltagrove_' || metric || '_count', null, n from g where kind = 'histogram'
+union all select 'deltagrove_' || k.metric || '_bucket', le, count(*) filter (where amount <= most) from k cross join b left join o on o.metric = k.metric where kind = 'histogram' group by k.metric, le""")
+def _(s, d):
+    t = F.col("event_type")
+    metric = F.when(t == "view", "reads_total").when(t == "click", "read_latency_seconds").when(t == "purchase", "writes_total").when(t == "signup", "active_connections").otherwise("deletes_total")
+    amount = F.when(t == "click", (F.col("event_id") % 1000) / F.lit(1000.0)).otherwise((F.col("event_id") % 7).cast("double"))
+    seen = table(s, d, "events").select(metric.alias("metric"), F.create_map().cast("map<string,string>").alias("labels"), amount.alias("amount"), F.col("event_id").alias("ord"))
+    m = stats.engine_metrics(seen)  # a sum of doubles depends on its order: compared to six digits
+    return m.select("name", F.try_element_at("labels", F.lit("le")).alias("le"), F.when(F.endswith("name", F.lit("_sum")), F.round("value", 6)).otherwise(F.col("value")).alias("value"))
+
+
 @query("stats_merge", f"select count(*) as ops, count(*) filter (where event_type = 'error') as errors, sum(ns)::bigint as total, min(ns) as min, max(ns) as max from ({_LAT})")
 def _(s, d):
     e = table(s, d, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("ns"), (F.col("user_id") % 4).alias("worker"))
@@ -113,6 +152,19 @@ def _(s, d):
     return t.select("header", "p.trace_id", "p.span_id", "p.sampled")
 
 
+_CONTEXT = "select event_id, md5(user_id::varchar) as t, printf('%016x', event_id + 1) as p, event_id % 3 = 0 as sampled from events"
+
+
+@query("trace_headers", f"""select event_id, '00-' || t || '-' || p || case when sampled then '-01' else '-00' end as traceparent, t || '-' || p || case when sampled then '-1' else '-0' end as b3, t as trace_id, p as span_id, sampled from ({_CONTEXT})""")
+def _(s, d):
+    e = table(s, d, "events").select("event_id", F.md5(F.col("user_id").cast("string")).alias("t"), F.lpad(F.lower(F.hex(F.col("event_id") + 1)), 16, "0").alias("p"), (F.col("event_id") % 3 == 0).alias("sampled"))
+    h = e.withColumn("h", traces.headers_of(F.col("t"), F.col("p"), F.col("sampled")))
+    # read back from one of the three forms, header names in capitals
+    form = F.when(F.col("event_id") % 3 == 0, F.map_filter("h", lambda k, v: k == "traceparent")).when(F.col("event_id") % 3 == 1, F.map_filter("h", lambda k, v: k == "b3")).otherwise(F.map_filter("h", lambda k, v: k.startswith("x-")))
+    back = h.withColumn("x", traces.extracted(F.transform_keys(form, lambda k, v: F.upper(k))))
+    return back.select("event_id", F.col("h")["traceparent"].alias("traceparent"), F.col("h")["b3"].alias("b3"), "x.trace_id", "x.span_id", "x.sampled")
+
+
 _SPANS = """spans as (select md5(user_id::varchar) as trace_id, printf('%016x', event_id + 1) as span_id,
   lag(printf('%016x', event_id + 1)) over (partition by user_id order by event_id) as parent_span_id, event_type as name, cast(floor(value * 1000) as bigint) as duration, ts as start from events)"""
 

@@ -157,14 +157,65 @@ def _(s, d):
     return limits.token_bucket(requests(s, d), 0.00002, 2).select("client", "ord", "allowed")
 
 
-@query("sliding_window_admission")
+@query("token_bucket_results", _BUCKET.replace("select printf('user:%06d', user_id) as client, event_id as ord, allowed from f", """select printf('user:%06d', user_id) as client, event_id as ord, allowed, tokens as remaining, 2.0::double as "limit",
+  case when allowed then 0.0::double else greatest(0.0::double, (1 - tokens) / 0.00002::double) end as retry_after, us + round_even((2.0::double - tokens) / 0.00002::double * 1e6::double, 0)::bigint as reset_us from f"""))
+def _(s, d):
+    return limits.token_bucket(requests(s, d), 0.00002, 2)
+
+
+_W = 86_400_000_000
+#: The state after each request: window start, requests in it, requests in the window before it, and the weighted count before.
+_SLIDING = f"""with recursive r as (select user_id, event_id, epoch_us(ts) as us, epoch_us(ts) // {_W} * {_W} as st, row_number() over (partition by user_id order by ts, event_id) as i from events),
+f as (select user_id, event_id, us, i, st, 1::bigint as cur, 0::bigint as bef, 0::double as had from r where i = 1
+  union all select user_id, event_id, us, i, st, cur + case when bef * share + cur + 1 <= 2 then 1 else 0 end, bef, bef * share + cur
+  from (select r.user_id, r.event_id, r.us, r.i, r.st, 1 - (r.us - r.st)::double / {_W}::double as share, case when r.st > f.st then 0 else f.cur end as cur,
+    case when r.st = f.st then f.bef when r.st = f.st + {_W} then f.cur else 0 end as bef from f join r on r.user_id = f.user_id and r.i = f.i + 1))
+select printf('user:%06d', user_id) as client, event_id as ord, had + 1 <= 2 as allowed, greatest(0.0::double, 2 - (bef * (1 - (us - st)::double / {_W}::double) + cur)) as remaining, 2.0::double as "limit",
+  case when had + 1 <= 2 or had < 2 then 0.0::double else (st + {_W} - us) / 1e6::double end as retry_after, st + {_W} as reset_us from f"""
+
+
+@query("sliding_window_admission", _SLIDING)
 def _(s, d):
     return limits.sliding_window(requests(s, d), 2, 86_400)
 
 
-@query("two_level_admission")
+def _fold(rate: str, burst: str, rows: str, by: str) -> str:
+    """A token bucket over rows r, numbered i within by, as the two parts of a recursive table."""
+    now = f"least({burst}, f.tokens + (r.us - f.us) / 1e6::double * {rate})"
+    return f"""select {by}, event_id, us, i, {burst} - 1 as tokens, true as ok from {rows} where i = 1
+  union all select r.{by}, r.event_id, r.us, r.i, case when {now} >= 1 then {now} - 1 else {now} end, {now} >= 1 from f_{rows} f join {rows} r on r.{by} = f.{by} and r.i = f.i + 1"""
+
+
+@query("two_level_admission", f"""with recursive g as (select 0 as one, user_id, event_id, epoch_us(ts) as us, row_number() over (order by ts, event_id) as i from events),
+f_g as ({_fold("0.002::double", "20.0::double", "g", "one")}),
+c as (select g.user_id, g.event_id, g.us, row_number() over (partition by g.user_id order by g.us, g.event_id) as i from g join f_g using (event_id) where ok),
+f_c as ({_fold("0.00003::double", "2.0::double", "c", "user_id")})
+select printf('user:%06d', user_id) as client, event_id as ord, f_g.ok as global_allowed, f_g.ok and coalesce(f_c.ok, false) as allowed from g join f_g using (event_id) left join f_c using (user_id, event_id)""")
+def _(s, d):
+    return limits.two_level(requests(s, d), 0.002, 0.00003, 20, 2)
+
+
+_GETS = f"{L}, t as (select k, v, substr(k, 6)::bigint as n from live)"
+
+
+@query("get_replies", f"""{_GETS} select n // 10 as request, string_agg('VALUE ' || k || ' ' || n % 8 || ' ' || strlen(v) || chr(13) || chr(10) || v || chr(13) || chr(10), '' order by k) || 'END' || chr(13) || chr(10) as reply from t group by 1""")
+def _(s, d):
+    n = F.substring("key", 6, 6).cast("long")
+    view = views.latest(event_log(s, d)).select("key", (n % 8).alias("flags"), "value")
+    asked = view.select(F.floor(n / 10).alias("request"), n.alias("pos"), "key")
+    return commands.get_replies(asked, view)
+
+
+@query("read_connections", """select user_id as conn, row_number() over (partition by user_id order by event_id) - 1 as ord, 'set' as name, 'e' || event_id as k,
+case when user_id % 9 <> 0 then props end as data, case when user_id % 9 = 0 then 'CLIENT_ERROR bad data chunk' end as error from events qualify user_id % 9 <> 0 or ord = 0""")
 def _(s, d):
-    return limits.two_level(requests(s, d), 0.002, 0.00003)
+    # every ninth connection ends in the middle of its first block
+    e = table(s, d, "events").select("user_id", "event_id", F.concat(F.lit("set e"), F.col("event_id").cast("string"), F.lit(" 0 0 "), F.octet_length("props").cast("string"), F.lit("\r\n"), F.col("props"), F.lit("\r\n")).alias("t"))
+    g = e.groupBy(F.col("user_id").alias("conn")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "t"))), lambda x: x["t"]), "").alias("t"), F.min(F.struct("event_id", "t"))["t"].alias("first"))
+    cut = F.substring("first", F.lit(1), F.length("first") - 3)
+    streams = g.select("conn", F.when(F.col("conn") % 9 == 0, cut).otherwise(F.col("t")).cast("binary").alias("stream"))
+    c = commands.read_connections(streams)
+    return c.select("conn", "ord", "name", F.element_at("keys", 1).alias("k"), F.col("data").cast("string").alias("data"), "error")
 
 
 @query("idle_clients", "with n as (select max(ts) as now from events), l as (select user_id, max(ts) as last_seen from events group by 1) select printf('user:%06d', user_id) as client, last_seen from l, n where last_seen < now - interval 86400 seconds")

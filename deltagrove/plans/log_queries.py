@@ -37,7 +37,7 @@ def _(s, d):
 
     asked = numbered(table(s, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], "pos")
     asked = asked.select(F.col("pos").cast("long").alias("pos"), F.format_string("order:%010d", "o_orderkey").alias("key"))
-    return views.multi_get(order_log(s, d), asked).select("pos", F.col("key").alias("k"), F.col("value").alias("v"))
+    return views.multi_get(order_log(s, d), asked, ordered=False).select("pos", F.col("key").alias("k"), F.col("value").alias("v"))
 
 
 @query("kv_latest", f"{L} select k, seq, v from live")
