@@ -16,7 +16,8 @@ def _crc_table() -> np.ndarray:
     return t
 
 
-_CRC = _crc_table().tolist()
+_TABLE = _crc_table()
+_CRC = _TABLE.tolist()
 
 
 def crc32c_of(data: bytes) -> int:
@@ -26,9 +27,36 @@ def crc32c_of(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
+def crc32c_many(parts: list[bytes]) -> np.ndarray:
+    """All parts at once, a byte of each a step; what is left of the few longest goes on byte by byte."""
+    size = np.array([len(p) for p in parts], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+    size = size[order]
+    start = np.cumsum(size) - size
+    c = np.full(len(parts), 0xFFFFFFFF, np.uint32)
+    at, few = 0, 16
+    alive = len(parts) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), side="right")  # parts longer than each step
+    while at < len(alive) and alive[at] > few:
+        n = int(alive[at])
+        c[:n] = _TABLE[(c[:n] ^ data[start[:n] + at]) & 0xFF] ^ (c[:n] >> np.uint32(8))
+        at += 1
+    for i in range(int(alive[at]) if at < len(alive) else 0):
+        x = int(c[i])
+        for b in data[start[i] + at : start[i] + size[i]].tobytes():
+            x = _CRC[(x ^ b) & 0xFF] ^ (x >> 8)
+        c[i] = x
+    out = np.empty(len(parts), np.int64)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 @F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
-    return data.map(crc32c_of, na_action="ignore")
+    out = pd.Series([None] * len(data), dtype="Int64")
+    there = data.notna().to_numpy()
+    out[there] = crc32c_many([bytes(x) for x in data[there]])
+    return out
 
 
 #: Fixed values of the filter's hash.
@@ -49,6 +77,24 @@ def bloom_hash(key: bytes) -> int:
     return h
 
 
+def bloom_hashes(keys: list[bytes]) -> np.ndarray:
+    """bloom_hash of many keys: those of one length together, four bytes of each a step."""
+    out = np.zeros(len(keys), np.uint64)
+    size = np.array([len(k) for k in keys], np.int64)
+    low, times = np.uint64(_LOW), np.uint64(BLOOM_MULTIPLIER)
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        data = np.frombuffer(b"".join(keys[i] for i in rows), np.uint8).reshape(len(rows), n).astype(np.uint64)
+        h = np.full(len(rows), (BLOOM_SEED ^ n * BLOOM_MULTIPLIER) & _LOW, np.uint64)
+        for i in range(0, n, 4):
+            part = data[:, i : i + 4]
+            word = (part << (np.arange(part.shape[1], dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+            h = (h + word) * times & low
+            h ^= h >> np.uint64(16 if part.shape[1] == 4 else 24)
+        out[rows] = h
+    return out
+
+
 def bloom_size(n: int, per_key: int) -> tuple[int, int]:
     """Bits and hash functions."""
     bits = -(-max(n * per_key, 64) // 8) * 8
@@ -65,11 +111,13 @@ def _places(key: bytes, bits: int, k: int):
 
 def bloom_build(keys: list[bytes], per_key: int = 10) -> bytes:
     bits, k = bloom_size(len(keys), per_key)
-    out = bytearray(bits // 8)
-    for key in keys:
-        for p in _places(key, bits, k):
-            out[p // 8] |= 1 << p % 8
-    return bytes(out) + bytes([k])
+    h = bloom_hashes(keys)
+    step = (h >> np.uint64(17) | h << np.uint64(15)) & np.uint64(_LOW)
+    out = np.zeros(bits, bool)
+    for _ in range(k):
+        out[(h % np.uint64(bits)).astype(np.int64)] = True
+        h = (h + step) & np.uint64(_LOW)
+    return np.packbits(out, bitorder="little").tobytes() + bytes([k])
 
 
 def bloom_may_contain(data: bytes, key: bytes) -> bool:

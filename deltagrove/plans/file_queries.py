@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytecodes, scalar
 from ..operators import compaction, views
-from ..sources import native
+from ..sources import native, tablefiles
 from .catalog import FILES_SQL, LOG_SQL, event_log, query, table
 
 FS, LS = f"with {FILES_SQL}", f"with {LOG_SQL}"
@@ -241,3 +241,10 @@ def _(s, d):
     e = event_log(s, d).withColumn("file_num", F.floor((F.col("seq") - 1) / 500) + 1)
     back = native.recovered(native.replayed(native.build_logs(e)), first_file=2)
     return back.groupBy("file_num").agg(F.count("*").alias("entries"), F.max("seq").alias("last_seq"))
+
+
+@query("table_files", f"{LS} select (seq - 1) // 500 + 1 as file_num, k, seq, op::int as op, v from log")
+def _(s, d):
+    e = event_log(s, d).withColumn("file_num", F.floor((F.col("seq") - 1) / 500) + 1)
+    back = tablefiles.table_rows(tablefiles.build_tables(e)).where("problem is null")
+    return back.select("file_num", F.col("key").cast("string").alias("k"), "seq", F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("v"))

@@ -11,9 +11,9 @@ from deltagrove import keys
 from deltagrove.cli import main
 from deltagrove.config import Config
 from deltagrove.functions import bytecodes, scalar
-from deltagrove.operators import commands, compaction, limits, views
+from deltagrove.operators import commands, compaction, limits, stats, views
 from deltagrove.schema import Corruption, InvalidKey, SnapshotReleased, WriteStalled
-from deltagrove.sources import native, transfer
+from deltagrove.sources import manifests, native, tablefiles, transfer
 from deltagrove.store import Store
 from deltagrove.streaming import jobs
 
@@ -324,3 +324,74 @@ def test_strategies_drive_compaction(spark, tmp_path):
     s.put(b"y", b"")
     s.config.fifo_bytes = s._state()["runs"][-1]["size"]
     assert s.run_compactions() == 1 and kv(s.latest()) == [(b"y", b"")]
+
+
+def test_checksums_and_hashes_of_many():
+    rng = random.Random(5)
+    parts = [rng.randbytes(rng.choice([0, 1, 3, 4, 5, 40, 300])) for _ in range(60)] + [rng.randbytes(3000)]
+    assert bytecodes.crc32c_many(parts).tolist() == [bytecodes.crc32c_of(p) for p in parts]
+    assert bytecodes.bloom_hashes(parts).tolist() == [bytecodes.bloom_hash(p) for p in parts]
+    assert bytecodes.crc32c_many([]).tolist() == [] and bytecodes.crc32c_many([b"123456789"]).tolist() == [0xE3069283]
+
+
+def test_table_file_bytes(spark, tmp_path):
+    one = tablefiles.build([(b"k", 7, 0, b"v")])
+    # by hand: type, key length, value length, sequence number, key, value; one restart at 0
+    entry = bytes([0]) + b"\x01\0\0\0" + b"\x01\0\0\0" + b"\x07" + bytes(7) + b"kv"
+    block = entry + bytes(4) + b"\x01\0\0\0"
+    assert one.startswith(block + bytecodes.crc32c_of(block).to_bytes(4, "little"))
+    assert one[-8:] == b"LBTdipaR" and one[-16:-8] == b"\x01" + bytes(7) and tablefiles.index_of(one) == [(b"k", 0, len(block) + 4)]
+    assert bytecodes.bloom_may_contain(tablefiles.filter_of(one), b"k")
+    entries = [(b"key%05d" % (i // 2), 5000 - i, i % 3 == 0, None if i % 3 == 0 else b"x" * (i % 50)) for i in range(3000)]
+    data = tablefiles.build([(k, s, int(o), v) for k, s, o, v in entries])
+    assert [(k, s, bool(o), v) for (k, s, o, v), _ in tablefiles.read(data)] == entries and len(tablefiles.index_of(data)) > 10
+    broken = bytearray(data)
+    broken[20] ^= 1
+    got = list(tablefiles.read(bytes(broken)))
+    assert got[0] == (None, "bad checksum") and len(got) > 2000
+    (tmp_path / "000012.sst").write_bytes(bytes(broken))
+    (tmp_path / "000013.sst").write_bytes(b"nothing")
+    (tmp_path / "000014.sst").write_bytes(tablefiles.build([]))
+    rows = tablefiles.read_tables(spark, str(tmp_path))
+    assert {(r.file_num, r.problem) for r in rows.where("problem is not null").collect()} == {(12, "bad checksum"), (13, "short footer")}
+
+
+def test_manifest_bytes(spark):
+    edits = [
+        manifests.Edit("bytewise", 1, 5, 9, [], [(0, 2, 100, b"a", b"c", 1, 4, 4), (0, 3, 50, b"b", b"d", 5, 9, 5)]),
+        manifests.Edit(last_seq=12, next_file=6, deleted=[(0, 2)], added=[(1, 4, 70, b"a" * 40_000, b"z", 1, 12, 6)]),
+    ]
+    data = manifests.write_manifest(edits)
+    assert list(manifests.read_manifest(data)) == edits
+    assert data[9:22] == b"\x01\x08\0\0\0bytewise"
+    rows = manifests.edit_rows(spark.createDataFrame([(bytearray(data),)], "content binary"))
+    assert sorted(map(tuple, compaction.fold_edits(rows.where("file_num is not null")).collect())) == [(3, 0), (4, 1)]
+    assert tuple(compaction.counters(rows).first()) == (6, 12, 1)
+    with pytest.raises(Corruption):
+        list(manifests.read_manifest(data[:-1]))
+
+
+def test_token_bucket_surface():
+    b = limits.TokenBucket(2, 4)
+    assert b.allow(0, 4) and b.reserve(0) == 0.5 and b.reserve(250_000) == 0.25 and b.limit == 4 and b.reset_at() == 2_000_000
+    assert b.wait(250_000) == 0.25 and b.remaining() == 0
+    b.set_rate(10, 500_000)
+    assert b.available(600_000) == pytest.approx(1)
+    b.set_burst(0.5, 600_000)
+    assert b.remaining() == 0.5
+    b.reset(600_000)
+    assert b.remaining() == 0.5 and not b.allow(600_000)
+
+
+def test_files_for_keys_without_files_and_with_ties(spark):
+    files = spark.createDataFrame([(i, b"%02d" % (i % 40), b"%02d" % (i % 40 + i % 3)) for i in range(300)], "file_num long, min_key binary, max_key binary")
+    asked = spark.createDataFrame([(b"%02d" % i,) for i in range(50)] + [(b"",), (b"\xff",)], "key binary")
+    want = {(k.key, f.file_num) for k in asked.collect() for f in files.collect() if f.min_key <= k.key <= f.max_key}
+    got = [(r.key, r.file_num) for r in compaction.files_for_keys(files, asked, cells=8).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert compaction.files_for_keys(files.limit(0), asked).count() == 0
+
+
+def test_gauges_without_labels(spark):
+    m = spark.createDataFrame([(1, "inc", None), (2, "set", 5.0), (3, "dec", None), (4, "add", 2.5)], "ord long, move string, amount double")
+    assert stats.gauge_moves(m, [], "ord").first().value == 6.5 and stats.gauge_moves(m.where("ord = 1"), [], "ord").first().value == 1.0
