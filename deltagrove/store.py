@@ -338,6 +338,21 @@ class Store:
         out.close()
         return self.spark.read.parquet(f"{path}/listing")
 
+    def backups(self, folder: str) -> list[dict]:
+        """The manifests of the finished backups in a folder, by their start."""
+        at = self._path(folder)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(self._path(f"{folder.rstrip('/')}/*/manifest.json")) or []
+        return sorted((self._load(f.getPath().toString()) for f in found), key=lambda m: m["created_at"])
+
+    def delete_backup(self, folder: str, path: str) -> None:
+        """Refused while another backup of the folder names it as its parent."""
+        strip = lambda p: p.rstrip("/").split("/")[-1]
+        if any(m["parent"] and strip(m["parent"]) == strip(path) for m in self.backups(folder)):
+            raise StoreError(f"{path} is the parent of another backup")
+        at = self._path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def _chain(self, path: str) -> list[dict]:
         """The manifests of a backup and its parents, itself first."""
         out, seen = [], set()

@@ -12,7 +12,7 @@ from deltagrove.cli import main
 from deltagrove.config import Config
 from deltagrove.functions import bytecodes, scalar
 from deltagrove.operators import commands, compaction, limits, stats, views
-from deltagrove.schema import Corruption, InvalidKey, SnapshotReleased, WriteStalled
+from deltagrove.schema import Corruption, InvalidKey, SnapshotReleased, StoreError, WriteStalled
 from deltagrove.sources import manifests, native, tablefiles, transfer
 from deltagrove.store import Store
 from deltagrove.streaming import jobs
@@ -395,3 +395,18 @@ def test_files_for_keys_without_files_and_with_ties(spark):
 def test_gauges_without_labels(spark):
     m = spark.createDataFrame([(1, "inc", None), (2, "set", 5.0), (3, "dec", None), (4, "add", 2.5)], "ord long, move string, amount double")
     assert stats.gauge_moves(m, [], "ord").first().value == 6.5 and stats.gauge_moves(m.where("ord = 1"), [], "ord").first().value == 1.0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    at, copies = f"file://{tmp_path}/s", f"file://{tmp_path}/copies"
+    run = lambda *a: main([at, *a], spark)
+    assert run("ping") == run("set", "a", "1") == run("put", "b", "2") == run("del", "a") == 0
+    assert run("backup", f"{copies}/one") == run("set", "c", "3") == run("backup", f"{copies}/two", f"{copies}/one") == 0
+    capsys.readouterr()
+    assert run("backups", copies) == 0
+    assert [x.split("\t")[1:] for x in capsys.readouterr().out.split("\n")[:-1]] == [["full", "3", "3"], [f"{copies}/one", "4", "1"]]
+    assert run("levels") == run("sstables") == run("flush") == run("info") == run("stats") == run("compact") == 0
+    with pytest.raises(StoreError):
+        Store(spark, at).delete_backup(copies, f"{copies}/one")
+    Store(spark, at).delete_backup(copies, f"{copies}/two")
+    assert len(Store(spark, at).backups(copies)) == 1 and Store(spark, at).get(b"c") == b"3"
