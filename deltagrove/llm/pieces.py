@@ -162,7 +162,7 @@ class _Column:
     def add(self, values: np.ndarray) -> None:
         n = self.n + len(values)
         if n > len(self.room):
-            room = np.empty(max(n, 2 * len(self.room)), self.room.dtype)
+            room = np.empty(max(n, len(self.room) * 5 // 4), self.room.dtype)
             room[: self.n] = self.room[: self.n]
             self.room = room
         self.room[self.n : n] = values
@@ -188,8 +188,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.index: defaultdict[str, int] = defaultdict()
-        self.index.default_factory = self.index.__len__
+        # a counter, not the index's own length: a cycle would keep each cleared index until the garbage collector happens on it
+        self.index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         for column in self.columns.values():
             column.n = 0
         self.columns["first"].add(np.zeros(1, np.int32))
