@@ -103,8 +103,17 @@ class Leveled:
     ratio: int = 10
 
     def pick(self, files: DataFrame) -> DataFrame:
-        """The files of the next compaction, with their role (input or overlap) and target_level; none: nothing to do."""
-        best = level_stats(files, self.trigger, self.base, self.ratio).where((F.col("level") < LEVELS - 1) & F.when(F.col("level") == 0, F.col("files") >= self.trigger).otherwise(F.col("score") > 1))
+        """The files of the next compaction, with their role (input or overlap) and target_level; none: nothing to do. Level 0
+        goes first once it has `trigger` files."""
+        due = F.when(F.col("level") == 0, F.col("files") >= self.trigger).otherwise(F.col("score") > 1)
+        return self._task(files, due)
+
+    def pick_by_size(self, files: DataFrame) -> DataFrame:
+        """As pick, among the levels below 0 alone, whatever the number of files of level 0."""
+        return self._task(files, (F.col("level") > 0) & (F.col("score") > 1))
+
+    def _task(self, files: DataFrame, due) -> DataFrame:
+        best = level_stats(files, self.trigger, self.base, self.ratio).where((F.col("level") < LEVELS - 1) & due)
         chosen = best.orderBy(F.desc((F.col("level") == 0).cast("int")), F.desc("score"), "level").limit(1).select(F.col("level").alias("_l"))
         inputs = files.join(F.broadcast(chosen), F.col("level") == F.col("_l"))  # one row
         first = F.row_number().over(Window.partitionBy("level").orderBy("min_key", "file_num"))

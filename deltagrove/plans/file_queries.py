@@ -103,7 +103,7 @@ i as (select lf.* from lf join b on lf.level = b.level order by min_key, file_nu
 o as (select lf.* from lf, i where lf.level = i.level + 1 and lf.max_key >= i.min_key and lf.min_key <= i.max_key)
 select file_num, level, 'input' as role, (level + 1)::int as target_level from i union all select file_num, level, 'overlap', level::int from o""")
 def _(s, d):
-    return compaction.Leveled(trigger=100, base=1000, ratio=10).pick(catalog(s, d, True))
+    return compaction.Leveled(trigger=100, base=1000, ratio=10).pick_by_size(catalog(s, d, True))
 
 
 @query("leveled_trigger", f"{_LEVELED} select true as needs_compaction, (select count(*) >= 12 from lf where level = 0) as stalled from (values (1)) where exists (select 1 from lf where level > 0 group by level having sum(size) > 1000 * pow(10, level - 1))")

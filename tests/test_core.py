@@ -392,6 +392,32 @@ def test_files_for_keys_without_files_and_with_ties(spark):
     assert compaction.files_for_keys(files.limit(0), asked).count() == 0
 
 
+def test_leveled_pick_by_size_passes_over_a_full_level_0(spark):
+    rows = [(i, 0, 10, "a", "z") for i in range(1, 5)] + [(5, 1, 900, "d", "f"), (6, 1, 900, "b", "c"), (7, 2, 400, "c", "e"), (8, 2, 400, "x", "y")]
+    files = spark.createDataFrame(rows, "file_num long, level int, size long, min_key string, max_key string")
+    tasks = lambda df: sorted(map(tuple, df.collect()))
+    by_size = [(6, 1, "input", 2), (7, 2, "overlap", 2)]
+    for trigger in (4, 5):
+        assert tasks(compaction.Leveled(trigger=trigger, base=1000).pick_by_size(files)) == by_size
+    assert tasks(compaction.Leveled(trigger=5, base=1000).pick(files)) == by_size
+    assert tasks(compaction.Leveled(trigger=4, base=1000).pick(files)) == [(i, 0, "input", 1) for i in range(1, 5)] + [(5, 1, "overlap", 1), (6, 1, "overlap", 1)]
+    assert tasks(compaction.Leveled(trigger=4, base=1800).pick_by_size(files)) == []
+
+
+def test_leveled_pick_by_size_of_many_files(spark, tmp_path):
+    """More level-0 files than the query's trigger of 100 (one event in each of 303 files), against its SQL."""
+    import duckdb
+
+    from deltagrove.plans import catalog
+
+    events = spark.range(303).select((F.col("id") * 1000).alias("event_id"), (F.col("id") * 7 % 50).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["leveled_pick_by_size"]).fetchall())
+    assert want and sorted(map(tuple, catalog.queries()["leveled_pick_by_size"](spark, str(tmp_path)).collect())) == want
+
+
 def test_gauges_without_labels(spark):
     m = spark.createDataFrame([(1, "inc", None), (2, "set", 5.0), (3, "dec", None), (4, "add", 2.5)], "ord long, move string, amount double")
     assert stats.gauge_moves(m, [], "ord").first().value == 6.5 and stats.gauge_moves(m.where("ord = 1"), [], "ord").first().value == 1.0
