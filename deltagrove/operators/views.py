@@ -44,10 +44,20 @@ def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None, ordered:
     return out.orderBy("pos") if ordered else out
 
 
+def _range(log: DataFrame, lower, upper, prefix) -> DataFrame:
+    key = F.col("key")
+    return log.where(with_prefix(key, prefix) if prefix else in_range(key, lower, upper))
+
+
 def scan(log: DataFrame, lower=None, upper=None, prefix=None, seq: int | None = None, tombstones: bool = False) -> DataFrame:
     """Live keys of a range; a prefix goes before bounds. The range is applied below the fold."""
-    key = F.col("key")
-    return as_of(log.where(with_prefix(key, prefix) if prefix else in_range(key, lower, upper)), seq, tombstones)
+    return as_of(_range(log, lower, upper, prefix), seq, tombstones)
+
+
+def scan_versions(log: DataFrame, lower=None, upper=None, prefix=None, tombstones: bool = False) -> DataFrame:
+    """All versions of a range's keys, without folding them."""
+    rows = _range(log, lower, upper, prefix)
+    return rows if tombstones else rows.where(F.col("op") == PUT)
 
 
 def seek(view: DataFrame, target) -> DataFrame:

@@ -55,6 +55,27 @@ def test_snapshot_filter_keeps_versions(spark):
     assert [v for _, v in kv(views.snapshot_filter(rows, 20))] == ["a2", "b1", "c1", "d1"]
 
 
+def test_scan_versions_keeps_versions(spark):
+    rows = log(spark, [("a", 1, 0, "a1"), ("b", 2, 0, "b2"), ("b", 3, 1, None), ("b", 4, 0, "b4"), ("c", 5, 0, "c5"), ("c", 5, 0, "c5"), ("d", 6, 0, "d6")])
+    assert [v for _, v in kv(views.scan_versions(rows, "b", "d"))] == ["b2", "b4", "c5", "c5"]
+    assert views.scan_versions(rows, prefix="b", tombstones=True).count() == 3 and views.scan_versions(rows).count() == 6
+    assert [v for _, v in kv(views.scan(rows, "b", "d"))] == ["b4", "c5"]
+
+
+def test_page_urls_that_repeat(spark, tmp_path):
+    """Pages that share a url stay a row each in kv_scan_page_urls, as in its SQL."""
+    import duckdb
+
+    from deltagrove.plans import catalog
+
+    urls = ["https://m.a/", "https://m.a/", "https://m.\u00e9/", "https://mz.b/x", "https://mz.b/x", "https://n", "https://m", "http://m.a/", None, None]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["kv_scan_page_urls"]).fetchall())
+    assert len(want) == 5 and sorted(map(tuple, catalog.queries()["kv_scan_page_urls"](spark, str(tmp_path)).collect())) == want
+
+
 def test_random_logs_against_a_dict(spark):
     rng = random.Random(7)
     for _ in range(3):
